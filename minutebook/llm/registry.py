@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import byte_bpe, near_duplicates, pieces, repeated_lines
-from minutebook.session import table
+from minutebook.llm import byte_bpe, encodings, mixing, near_duplicates, pieces, repeated_lines
+from minutebook.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,28 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    wanted = table(spark, sf_dir, "documents").join(targets.select("source").distinct(), "source", "left_semi")
+    return mixing.mixed(cut(byte_bpe.token_counts(wanted, "doc_id", "text", ["source"])), targets)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.in_order(_mix(spark, sf_dir))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.repaired(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.repaired(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -55,6 +77,10 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_clean": p7_clean,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_repaired": p10_repaired,
 }
 
 ORACLE: dict[str, str] = {
