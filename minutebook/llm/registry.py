@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import byte_bpe, encodings, mixing, near_duplicates, pieces, repeated_lines
+from minutebook.llm import addresses, byte_bpe, encodings, mixing, names, near_duplicates, pieces, repeated_lines
 from minutebook.session import cut, table
 
 
@@ -17,6 +17,26 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.item_classes(table(spark, sf_dir, "legislative_items"))
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.typed_names(table(spark, sf_dir, "roll_calls"), table(spark, sf_dir, "public_comments"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.spelling_pairs(_names(spark, sf_dir))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked(_names(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.same_building(addresses.records(table(spark, sf_dir, "extracted_facts")))
+
+
+def p4_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.resolved(addresses.records(table(spark, sf_dir, "extracted_facts")))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda name: table(spark, sf_dir, name).select(F.lit(name).alias("record_table"), F.col("id").alias("record_id"), "content")
     return of("pages").unionByName(of("legislative_items"))
@@ -72,6 +92,10 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p2_entities": p2_entities,
+    "p4_found": p4_found,
+    "p4_resolved": p4_resolved,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
