@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import addresses, byte_bpe, encodings, mixing, names, near_duplicates, pieces, repeated_lines
+from minutebook.llm import addresses, byte_bpe, encodings, mixing, names, near_duplicates, pieces, repeated_lines, scanned
 from minutebook.session import cut, table
 
 
@@ -37,6 +37,15 @@ def p4_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.resolved(addresses.records(table(spark, sf_dir, "extracted_facts")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.faults(table(spark, sf_dir, "pages")).select("page_id", "line_no", "fault").distinct()
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return scanned.paragraphs(pages, cut(scanned.faults(pages)))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda name: table(spark, sf_dir, name).select(F.lit(name).alias("record_table"), F.col("id").alias("record_id"), "content")
     return of("pages").unionByName(of("legislative_items"))
@@ -96,6 +105,8 @@ QUERIES = {
     "p2_entities": p2_entities,
     "p4_found": p4_found,
     "p4_resolved": p4_resolved,
+    "p5_found": p5_found,
+    "p5_paragraphs": p5_paragraphs,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
