@@ -14,6 +14,7 @@ from functools import lru_cache, reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # English words that carry no meaning in a search.
 STOP_WORDS = tuple(
@@ -110,7 +111,7 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stemmed(s: pd.Series) -> pd.Series:
     """Analysed text to stems without stop words, in the same form."""
     stop = set(STOP_WORDS)
@@ -134,7 +135,7 @@ def parse(query: str, stems: bool = False) -> list[list[Term]]:
         if not quoted and m[4].lower() == "or" and not m[3]:
             out.append([])
             continue
-        words = [stem(w) if stems else w for w in re.findall("[a-z0-9]+", (m[2] if quoted else m[4]).lower()) if w not in stop]
+        words = [stem(w) if stems else w for w in re.findall("[a-z0-9]+", (m[2] if quoted else m[4]).lower()) if w not in stop or (quoted and not stems)]
         if words:
             out[-1].append(Term(tuple(words), bool(m[1] or m[3])))
     return [a for a in out if a]
@@ -162,7 +163,8 @@ def wanted(*queries: str, stems: bool = False) -> list[str]:
 def frequency_rank(text: Column, words: list[str], weight: float = 0.1) -> Column:
     """r / (r + 1), r the weighted logs of term frequencies: a rank that needs no positions."""
     terms = F.split(F.trim(text), " ")
-    r = sum((F.log1p(F.size(F.filter(terms, lambda x, w=w: x == w)).cast("double")) for w in words), F.lit(0.0)) * weight
+    often = lambda w: F.size(F.filter(terms, lambda x: x == w)).cast("double")
+    r = sum((F.log1p(often(w)) for w in words), F.lit(0.0)) * weight
     return F.coalesce(r / (r + 1), F.lit(0.0))
 
 
@@ -189,7 +191,7 @@ def cover_density(words: list[str], weight: float = 0.1):
     cover counts its words' weight over the words it holds beyond them."""
     chosen = set(words)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def rank(s: pd.Series) -> pd.Series:
         def one(x: str | None) -> float:
             if not x:
@@ -211,7 +213,7 @@ def headline(words: list[str], most: int = 55, least: int = 22, fragments: int =
     ones; the beginning of the text where none occurs."""
     chosen = set(words)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def cut(s: pd.Series) -> pd.Series:
         def one(x: str | None) -> str | None:
             if x is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trigrams(c: Column) -> Column:
@@ -56,7 +57,7 @@ def best_extent(query: str, text: str | None) -> float:
 def word_similarity(query: str):
     """Arrow function of a text: best_extent of a fixed query."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(s: pd.Series) -> pd.Series:
         return s.map(lambda x: best_extent(query, x))
 
@@ -78,7 +79,7 @@ def osa(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b)], dtype="Int32")
 

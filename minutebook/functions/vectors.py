@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -47,7 +48,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, boosted: Column, k: int) -> Da
 def hash_embedder(dimensions: int = 64):
     """Arrow function of a text: a deterministic bag-of-words vector of unit length, in place of a provider."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(s: pd.Series) -> pd.Series:
         def one(x: str | None) -> list[float] | None:
             if x is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 ABSENT = "absent"
@@ -73,7 +74,7 @@ def line_diff_of(old: str | None, new: str | None, most: int = 100) -> dict:
     return {"start": lo, "removed": gone[:most], "added": come[:most], "truncated": max(len(gone), len(come)) > most}
 
 
-@F.pandas_udf("struct<start:int,removed:array<string>,added:array<string>,truncated:boolean>")
+@F.pandas_udf(T.StructType().add("start", "integer").add("removed", T.ArrayType(T.StringType())).add("added", T.ArrayType(T.StringType())).add("truncated", "boolean"))
 def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([line_diff_of(a, b) for a, b in zip(old, new)], columns=["start", "removed", "added", "truncated"])
 

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Formats of file names and catalog entries.
 FILE_NAME = r"(?:^|/)(\d{4}-\d{2}-\d{2})_(?:(\d+)_([0-9A-Fa-f-]+)_)?(agenda|minutes)\.[A-Za-z]+$"
@@ -122,7 +123,7 @@ def text_of(markup: str | None, mark: str = "content", least: int = 80, fallback
     return out if len(out) >= least else fallback
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(s: pd.Series) -> pd.Series:
     return s.map(text_of)
 
