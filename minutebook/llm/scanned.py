@@ -27,12 +27,21 @@ MONTHS = "january|february|march|april|may|june|july|august|september|october|no
 BREAK_MARKS = "-­¬‐‑"
 
 DATE = re.compile(rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}\s*,?\s+\d{{4}}\b|\b\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}\b|\b\d{{4}}-\d{{1,2}}-\d{{1,2}}\b|\b\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{4}}\b")
+YEAR = re.compile(r"\d{4}")
 _N = r"(?:\d{1,4}|[ivxlc]{1,6})"
 PAGE_NUMBER = re.compile(rf"(?i)^[\s\[({{<~*=_.\-–—|]*(?:(?:page|pages|pg|p|sheet|folio)\b[.:#\s]*(?:no\.?\s*)?{_N}|\d{{1,4}})(?:\s*(?:/|of|\||-|–)\s*\d{{1,4}})?[\s\])}}>~*=_\-–—|]*$")
 WORD = re.compile(r"@?[^\W_]+(?:[@'’\-|!]?[^\W_]+)*@?")
 TAIL = re.compile(rf"([^\W_][^\s]*?)[{BREAK_MARKS}][ \t\r]*$")
 HEAD = re.compile(r"^\s*(@?[^\W_]+(?:[@'’\-]?[^\W_]+)*)")
 
+
+
+def tail_of(line: str) -> re.Match[str] | None:
+    """The match of a line that ends with a break mark after a word."""
+    return TAIL.search(line) if line.rstrip(" \t\r")[-1:] in MARKS else None
+
+
+MARKS = set(BREAK_MARKS)
 STATES = "HPBX"  # header, page number, body, break
 
 
@@ -45,13 +54,14 @@ def shape_of(line: str) -> str:
     s = line.strip()
     if not s:
         return "blank"
-    if PAGE_NUMBER.match(s):
-        return "number" if sum(c.isdigit() for c in s) <= 3 or not s.isdigit() else "digits"
-    if re.fullmatch(r"[\d\W]+", s):
+    n = len(s)
+    if n <= 40 and PAGE_NUMBER.match(s):
+        return "number" if n <= 3 or not s.isdigit() else "digits"
+    if not s[0].isalpha() and s.upper() == s.lower():  # no letters
         return "digits"
     if "\t" in s:
         return "table"
-    if DATE.search(s) and len(s) <= 110:
+    if n <= 110 and YEAR.search(s) and DATE.search(s):
         return "title" if not s.endswith((".", ",", ";")) and sum(w[:1].isupper() or not w[:1].isalpha() for w in s.split()) * 2 > len(s.split()) else "dated"
     return "short" if len(s) < 40 else "text"
 
@@ -85,27 +95,35 @@ class Markov:
         for a in "^" + STATES:
             total = sum(counts.get(("t", a, b), 0.0) for b in STATES + "$") + 0.5
             self.move[a] = {b: math.log((counts.get(("t", a, b), 0.0) + 0.1) / total) for b in STATES + "$"}
+        self.rows = {f: [self.emit[s][f] for s in STATES] for f in seen}
+        self.other = [self.emit[s][""] for s in STATES]
+        self.start, self.end = [self.move["^"][s] for s in STATES], [self.move[s]["$"] for s in STATES]
+        self.into = [[self.move[a][b] for a in STATES] for b in STATES]
 
     def label(self, feats: list[str]) -> str:
         """The most likely sequence of states (Viterbi)."""
-        score = {"^": 0.0}
-        back: list[dict[str, str]] = []
+        scores, back = list(self.start), []
+        first = True
         for f in feats:
-            new, frm = {}, {}
-            for s in STATES:
-                e = self.emit[s].get(f, self.emit[s][""])
-                prev, best = max(((a, x + self.move[a][s]) for a, x in score.items()), key=lambda p: p[1])
-                new[s], frm[s] = best + e, prev
-            score = new
+            e = self.rows.get(f, self.other)
+            if first:
+                scores, first = [x + y for x, y in zip(scores, e)], False
+                continue
+            new, frm = [], []
+            for s, into in zip(e, self.into):
+                best, at = max((scores[0] + into[0], 0), (scores[1] + into[1], 1), (scores[2] + into[2], 2), (scores[3] + into[3], 3))
+                new.append(best + s)
+                frm.append(at)
+            scores = new
             back.append(frm)
-        if not back:
+        if first:
             return ""
-        at = max(score, key=lambda s: score[s] + self.move[s]["$"])
-        out = []
+        at = max(range(4), key=lambda k: scores[k] + self.end[k])
+        out = [at]
         for frm in reversed(back):
-            out.append(at)
             at = frm[at]
-        return "".join(reversed(out))
+            out.append(at)
+        return "".join(STATES[k] for k in reversed(out))
 
 
 def _line_counts(model: Markov | None):
@@ -140,7 +158,7 @@ def fit_lines(pages: DataFrame, rounds: int = 2) -> Markov:
 def broken_at(lines: list[str], i: int, body: list[bool]) -> tuple[str, str, int] | None:
     """(head, tail, line) of a word that line i may break: what stands before the mark, and the next body line's first
     word with its line number; an empty tail where the page ends."""
-    m = TAIL.search(lines[i])
+    m = tail_of(lines[i])
     if not m:
         return None
     words = WORD.findall(m[1])
@@ -179,10 +197,11 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for content in batch.column(0).to_pylist():
-            for line in content.split("\n"):
-                if TAIL.search(line):  # its last word is a part of one
-                    line = line[: TAIL.search(line).start(1)]
-                counts.update(w.lower() for w in WORD.findall(line) if len(w) > 1)
+            lines = content.lower().split("\n")
+            for i, line in enumerate(lines):
+                if m := tail_of(line):  # its last word is a part of one
+                    lines[i] = line[: m.start(1)]
+            counts.update(WORD.findall("\n".join(lines)))
         if len(counts) > 300_000:
             yield emit(counts)
             counts = Counter()
@@ -206,6 +225,8 @@ def corrections_of(word: str) -> set[str]:
 
 def odd(word: str) -> bool:
     """A word that no print has: a digit or an @ among letters, or a ligature."""
+    if word.isascii() and word.isalpha():
+        return False
     if re.search(r"[ﬀ-ﬆ]", word):
         return True
     letters = sum(c.isalpha() for c in word)
@@ -270,16 +291,16 @@ def header_keys(line: str) -> list[str]:
 def _signs(model: Markov, words: bytes):
     """Pages to what may be a fault: (page_id, document_id, line_no, sign, a, b)."""
     bits = np.frombuffer(words, dtype=np.uint32)
-    known: dict[str, bool] = {}
+    known: dict[str, str] = {}
 
-    def maybe(w: str) -> bool:
-        hit = known.get(w)
-        if hit is None:
-            hit = all(int(bits[h >> 5]) >> (h & 31) & 1 for h in _hashes(w))
-            if len(known) > 200_000:
-                known.clear()
-            known[w] = hit
-        return hit
+    def sign_of(w: str) -> str:
+        """odd, glyph for what the filter holds, or empty; kept for the words of a worker, within a bound."""
+        low = w.lower()
+        sign = "odd" if odd(low) else "glyph" if len(low) > 1 and all(int(bits[h >> 5]) >> (h & 31) & 1 for h in _hashes(low)) else ""
+        if len(known) > 200_000:
+            known.clear()
+        known[w] = sign
+        return sign
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,14 +315,14 @@ def _signs(model: Markov, words: bytes):
                     elif s == "H":
                         out += [(page, doc, i, "header", k, "") for k in header_keys(line)]
                     elif s == "B" and (b := broken_at(lines, i, body)):
-                        mark = "soft" if TAIL.search(line) and line.rstrip()[-1:] not in "-" else "hard"
+                        mark = "hard" if line.rstrip().endswith("-") else "soft"
                         out.append((page, doc, i, f"hyphen {mark}", (b[0] + b[1]).lower(), f"{b[0]}-{b[1]}".lower()))
                 for i, w in page_words(lines, body):
-                    low = w.lower()
-                    if odd(low):
-                        out.append((page, doc, i, "odd", low, w))
-                    elif len(low) > 1 and maybe(low):
-                        out.append((page, doc, i, "glyph", low, w))
+                    sign = known.get(w)
+                    if sign is None:
+                        sign = sign_of(w)
+                    if sign:
+                        out.append((page, doc, i, sign, w.lower(), w))
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), *[pa.array(c, pa.string()) for c in cols[3:]]], ["page_id", "document_id", "line_no", "sign", "a", "b"])
 
