@@ -185,7 +185,8 @@ def resolved(addresses: DataFrame) -> DataFrame:
     counted = both.join(names.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(names.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
     # a spelling gives way only to one that is clearly more frequent or, if both are rare, comes first
     better = counted.where((F.col("nb") >= F.col("na") * 3) | ((F.col("nb") > F.col("na")) & (F.col("na") <= 2)) | ((F.col("na") == F.col("nb")) & (F.col("na") <= 2) & (F.col("b") < F.col("a"))))
-    near_by = towns.select(F.col("name").alias("a"), "town").join(towns.select(F.col("name").alias("b"), "town", "there"), "town").groupBy("a", "b").agg(F.sum("there").alias("there"))
+    # towns are compared for linked names only
+    near_by = better.select("a", "b").join(towns.select(F.col("name").alias("a"), "town"), "a").join(towns.select(F.col("name").alias("b"), "town", "there"), ["b", "town"]).groupBy("a", "b").agg(F.sum("there").alias("there"))
     better = better.join(near_by, ["a", "b"], "left")
     best = Window.partitionBy("a").orderBy(F.coalesce("there", F.lit(0)).desc(), F.desc("nb"), "b")
     to = cut(better.withColumn("k", F.row_number().over(best)).where("k = 1").select("a", "b"))
