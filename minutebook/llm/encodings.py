@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minutebook.session import cut
+
 #: Chains as pairs (written as, read as), undone from the last to the first.
 UTF8_READ_AS = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "gbk", "big5", "cp932")
 BYTES_READ_AS = (("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("gbk", "cp1252"), ("big5", "cp1252"))
@@ -36,6 +38,12 @@ BLOCK = math.log(1000)
 MULTIBYTE = {"gbk", "big5", "cp932"}
 
 
+@lru_cache(maxsize=64)
+def _leads(encoding: str) -> frozenset[str]:
+    """Characters of an encoding that stand for the first byte of a UTF-8 sequence."""
+    return frozenset(c for c, b in _table(encoding).items() if 0xC2 <= b <= 0xF4)
+
+
 @lru_cache(maxsize=64)
 def _table(encoding: str) -> dict[str, int]:
     """Character to byte of a one-byte encoding. Bytes it leaves undefined are read as control characters."""
@@ -60,17 +68,25 @@ def _utf8_at(codes: list[int | None], i: int) -> int:
     return n
 
 
+#: Bytes of characters by encoding; bounded by the characters there are.
+_WIDE: dict[str, dict[str, tuple]] = {}
+
+
 def _undo_wide(run: str, read: str) -> str:
     """UTF-8 that was read in an encoding of two bytes a character: from each character on, whole UTF-8 sequences are
     taken until they end with a character; if they don't, the character stays."""
     codes: list[int | None] = []
-    first = []  # of each byte that begins a character, the character's number
+    first: list[bool] = []
+    known = _WIDE.setdefault(read, {})
     for c in run:
-        try:
-            own: list[int | None] = list(c.encode(read))
-        except UnicodeEncodeError:
-            own = [None]
-        first += [True, *[False] * (len(own) - 1)]
+        own = known.get(c)
+        if own is None:
+            try:
+                own = tuple(c.encode(read))
+            except UnicodeEncodeError:
+                own = (None,)
+            known[c] = own
+        first += (True, False)[: len(own)] if len(own) < 3 else (True, *(False,) * (len(own) - 1))
         codes += own
     first.append(True)
     starts = [i for i, x in enumerate(first) if x]
@@ -97,6 +113,8 @@ def _undo_wide(run: str, read: str) -> str:
 def _undo_step(run: str, written: str, read: str) -> str:
     if read in MULTIBYTE:
         return _undo_wide(run, read)
+    if written == "utf-8" and _leads(read).isdisjoint(run):
+        return run
     table = _table(read)
     codes = [table.get(c) for c in run]
     if written == "utf-8":
@@ -344,24 +362,36 @@ def _priors(sums: DataFrame) -> DataFrame:
     return wide.select("source", prior.alias("prior"))
 
 
+#: A table of priors of at most this many sources (about 300 bytes each) is broadcast; a larger one joins by shuffle.
+MOST_SOURCES = 20_000
+
+
+def _with_prior(docs: DataFrame, priors: DataFrame | None) -> DataFrame:
+    if priors is None:
+        return docs.withColumn("prior", F.lit(None).cast("array<double>"))
+    p = priors.select(F.col("source").alias("_source"), "prior")
+    if priors.count() <= MOST_SOURCES:
+        p = F.broadcast(p)
+    return docs.join(p, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
 def fit(documents: DataFrame, text: str = "text", source: str = "source", rounds: int = 3) -> tuple[Model, DataFrame]:
     """The clean-text model and the chain priors of each source, from all documents.
 
     What reaches the driver is the table of (context, symbol): at most 64 contexts times the code points below U+3000
     and the blocks above, whatever the number of documents. The priors stay a table, one row a source.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col(source).alias("source"), F.col(text).alias("text"))
-    model, priors = None, spark.createDataFrame([], "source string, prior array<double>")
+    model, priors = None, None
     for _ in range(rounds):
-        step = docs.join(priors, docs["source"].eqNullSafe(priors["source"]), "left").select(docs["source"], "text", "prior")
-        sums = step.mapInArrow(_e_step(model), SUMS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).persist()
+        step = _with_prior(docs, priors).select("source", "text", "prior")
+        sums = step.mapInArrow(_e_step(model), SUMS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+        sums = cut(sums)
         table = sums.where(F.col("kind") == "c").select("a", "b", "n").collect()
         counts = {(r.a, r.b): r.n for r in table}
         before, model = model, Model(counts if model else discounted(counts))
         if before is not None:
-            priors = spark.createDataFrame(_priors(sums).collect(), "source string, prior array<double>")
-        sums.unpersist()
+            priors = cut(_priors(sums))
     return model, priors
 
 
@@ -376,7 +406,7 @@ def repaired(documents: DataFrame, key: str = "doc_id", text: str = "text", sour
     kind = documents.schema[key].dataType.simpleString()
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
     docs = docs.where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    docs = docs.join(priors, docs["source"].eqNullSafe(priors["source"]), "left").select("key", "text", "prior")
+    docs = _with_prior(docs, priors).select("key", "text", "prior")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
