@@ -237,9 +237,9 @@ def odd(word: str) -> bool:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(w, n, c) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in corrections_of(w)]
-        cols = list(zip(*rows)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["word", "n", "printed"])
+        rows = [(w, n, c, odd(w)) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in corrections_of(w)]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())], ["word", "n", "printed", "odd"])
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
@@ -250,10 +250,11 @@ def vocabulary(pages: DataFrame) -> DataFrame:
 
 def misread(vocab: DataFrame, words: DataFrame, rate: float = 0.03) -> DataFrame:
     """(word, printed): of words (word, n) those that a confusion turns into a far more frequent word of the vocabulary.
-    A form may be up to `rate` of the right one's occurrences, or occur twice; else both are words."""
-    tried = words.mapInArrow(_candidates, "word string, n long, printed string")
+    A form may be up to `rate` of the right one's occurrences, or occur twice; else both are words. A form that no print
+    has needs no such proof."""
+    tried = words.mapInArrow(_candidates, "word string, n long, printed string, odd boolean")
     met = tried.join(vocab.select(F.col("word").alias("printed"), F.col("n").alias("m")), "printed")
-    met = met.where((F.col("m") >= 3) & (F.col("m") >= 3 * F.col("n")) & ((F.col("n") <= 2) | (F.col("n") <= F.col("m") * F.lit(rate))))
+    met = met.where(F.col("odd") | (F.col("m") >= 3) & (F.col("m") >= 3 * F.col("n")) & ((F.col("n") <= 2) | (F.col("n") <= F.col("m") * F.lit(rate))))
     return met.groupBy("word").agg(F.max(F.struct("m", "printed")).alias("b")).select("word", F.col("b.printed").alias("printed"))
 
 
@@ -400,6 +401,8 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 open_ = i in ends
                 if open_:
                     text = re.sub(f"[{BREAK_MARKS}]$", "", text)
+                elif re.search(f"[^\\W\\d_][{BREAK_MARKS}]$", text):  # a word with a hyphen of its own goes on
+                    text, open_ = text[:-1] + "-", True
             if text:
                 paragraphs.append((text, fixes))
             done = []
