@@ -127,9 +127,9 @@ class Term:
 def parse(query: str, stems: bool = False) -> list[list[Term]]:
     """A web-style query as alternatives of terms: bare words are all wanted, "quoted words" in this order, OR between
     alternatives, a leading - excludes. Anything can be parsed; an unbalanced quote runs to the end. Stop words count
-    for nothing when stems are used."""
+    for nothing, but stay in quoted words that aren't stemmed."""
     out: list[list[Term]] = [[]]
-    stop = set(STOP_WORDS) if stems else set()
+    stop = set(STOP_WORDS)
     for m in re.finditer(r'(-?)"([^"]*)(?:"|$)|(-?)([^\s"]+)', query):
         quoted = m[2] is not None
         if not quoted and m[4].lower() == "or" and not m[3]:
