@@ -76,12 +76,15 @@ def _banded(bands: int, rows: int, seed: int):
     return sign
 
 
-def classes(items: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, rep, words): rep is the smallest key with the same words."""
-    t = items.select(F.col(key).alias("id"), words.alias("words"))
-    t = t.withColumn("print", F.sha2("words", 256))
-    reps = t.groupBy("print").agg(F.min("id").alias("rep"))
-    return t.join(reps, "print").select("id", "rep", "words")
+def classes(items: DataFrame, key: str, words: Column) -> tuple[DataFrame, DataFrame]:
+    """Members (id, rep, size) and texts (rep, words): rep is the smallest key with the same words, size the number of
+    words. Texts are folded on the map side, and only hashes travel with the members, so a text that a third of the
+    rows share is as good as any other."""
+    t = items.select(F.col(key).alias("id"), words.alias("words")).withColumn("print", F.sha2("words", 256))
+    texts = t.groupBy("print").agg(F.min("id").alias("rep"), F.first("words").alias("words"))
+    texts = cut(texts)
+    slim = t.select("id", "print", F.size(F.split("words", " ")).alias("size")).distinct()
+    return slim.join(texts.select("print", "rep"), "print").select("id", "rep", "size"), texts.select("rep", "words")
 
 
 def similar(
@@ -114,10 +117,9 @@ def item_words(items: DataFrame) -> DataFrame:
 
 
 def item_matches(items: DataFrame, threshold: float, n: int, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members is (id, rep, words), links the similar pairs of representatives."""
-    members = cut(classes(item_words(items), "id", F.col("words")).distinct())
-    links = similar(members.where(F.col("id") == F.col("rep")).select("rep", "words"), threshold, n, recall)
-    return members, links
+    """(members, links): members is (id, rep, size), links the similar pairs of representatives."""
+    members, texts = classes(item_words(items), "id", F.col("words"))
+    return cut(members), similar(texts, threshold, n, recall)
 
 
 def item_pairs(items: DataFrame, threshold: float = 0.7, n: int = 3, recall: float = 0.999) -> DataFrame:
@@ -125,7 +127,7 @@ def item_pairs(items: DataFrame, threshold: float = 0.7, n: int = 3, recall: flo
     fewer than n of them share no run and make no pair."""
     members, links = item_matches(items, threshold, n, recall)
     slim = members.select("id", "rep")
-    some = members.where(F.size(F.split("words", " ")) >= n).select("id", "rep")
+    some = members.where(F.col("size") >= n).select("id", "rep")
     copies = some.alias("x").join(some.alias("y"), "rep").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     across = links.join(slim.select(F.col("id").alias("x"), F.col("rep").alias("a")), "a").join(slim.select(F.col("id").alias("y"), F.col("rep").alias("b")), "b")
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
