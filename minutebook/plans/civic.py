@@ -137,7 +137,7 @@ def s03_comment_search(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def s04_entity_match(spark: SparkSession, sf: str) -> DataFrame:
     items = _items(spark, sf)
-    return search.entity_matches(extract.entities(items), items, "Nebbfollor Foundation", 24)
+    return search.entity_matches(extract.entities(items), items, "Ziggimpock Foundation", 24)
 
 
 @query()
