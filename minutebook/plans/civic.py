@@ -142,14 +142,14 @@ def s04_entity_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def s05_unified_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Items, pages and comments with entities and vectors, fused by rank."""
+    """Items, pages and comments with entities and vectors, fused by rank; the vectors of all items are ranked."""
     intent = interpret("What about tenant relocation in 2015?", [])
     n = search.budget(20)
     o = search.Options(intent.query, from_year=intent.from_year, to_year=intent.to_year, limit=n)
     items, documents = _items(spark, sf), _documents(spark, sf)
     found = search.items(items, documents, _calls(spark, sf), o)
     embed = vectors.hash_embedder()
-    here = found.select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("key"), embed(F.concat_ws(" ", "title", "content")).alias("v"))
+    here = items.select(F.concat(F.lit("item:"), F.col("id").cast("string")).alias("key"), embed(F.concat_ws(" ", "title", "content")).alias("v"))
     wanted = embed.func(pd.Series([intent.query]))[0]
     semantic = vectors.nearest(here, "key", "v", list(wanted), n).withColumnRenamed("score", "cosine")
     return search.unified(found, search.comments(once(spark, sf, "public_comments"), documents, o), search.pages(once(spark, sf, "pages"), documents, items, o), search.entity_matches(extract.entities(items), items, intent.query, n), semantic, 20)
