@@ -268,6 +268,35 @@ def v06_rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.fuse(lex, sem, F.col("list_no") == 1, 20).select("key", F.round("fusion", 9).alias("fusion"))
 
 
+@query("""
+with q as (select cast(embedding as double[]) as q from embeddings where vec_id = 1), e as (select vec_id, cast(embedding as double[]) as v, 1.0 / (1 + vec_id % 17) as lexical from embeddings),
+s as (select vec_id, lexical, case when vec_id % 4 = 0 then null else list_cosine_similarity(v, q) end as c from e, q)
+select vec_id, round(0.65 * lexical / (select max(lexical) from s) + 0.35 * coalesce((c + 1) / 2, 0), 6) as score from s""")
+def v02_hybrid_rerank_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """v02_hybrid_rerank over all rows."""
+    e = table(spark, sf, "embeddings")
+    q = F.array(*[F.lit(float(x)) for x in e.where("vec_id = 1").select("embedding").first()[0]])
+    rows = e.select("vec_id", (1.0 / (1 + F.col("vec_id") % 17)).alias("lexical"), F.when(F.col("vec_id") % 4 != 0, vectors.cosine(F.col("embedding"), q)).alias("cosine"))
+    return vectors.hybrid(rows).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""
+with l as (select vec_id as key, label % 3 + 1 as list_no, vec_id % 23 as score from embeddings order by label % 3 + 1, vec_id % 23 desc, vec_id limit 50),
+q as (select cast(embedding as double[]) as q from embeddings where vec_id = 1),
+s as (select vec_id as key, round(list_cosine_similarity(cast(embedding as double[]), q), 6) as cosine from embeddings, q order by 2 desc, 1 limit 50),
+a as (select *, 1.0 / (60 + row_number() over (order by list_no, score desc, key)) + case when list_no = 1 then 0.008 else 0 end as f from l),
+b as (select key, 0.8 / (60 + row_number() over (order by cosine desc, key)) as g from s)
+select coalesce(a.key, b.key) as key, round(coalesce(f, 0.008) + coalesce(g, 0), 9) as fusion from a full join b on a.key = b.key order by coalesce(f, 0.008) + coalesce(g, 0) desc, 1 limit 20""")
+def v06_rank_fusion_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """v06_rank_fusion of the best rows of all: both candidate lists are top rows over the whole table."""
+    e = table(spark, sf, "embeddings")
+    n = search.budget(25)
+    q = F.array(*[F.lit(float(x)) for x in e.where("vec_id = 1").select("embedding").first()[0]])
+    lex = e.select(F.col("vec_id").alias("key"), (F.col("label") % 3 + 1).alias("list_no"), (F.col("vec_id") % 23).alias("score")).orderBy("list_no", F.desc("score"), "key").limit(n)
+    sem = e.select(F.col("vec_id").alias("key"), F.round(vectors.cosine(F.col("embedding"), q), 6).alias("cosine")).orderBy(F.desc("cosine"), "key").limit(n)
+    return vectors.fuse(lex, sem, F.col("list_no") == 1, 20).select("key", F.round("fusion", 9).alias("fusion"))
+
+
 @query(f"""
 with o as (select document_id, page_number, max(coalesce(content, '')) as content from {P} group by all)
 select document_id, sha256(string_agg(cast(page_number as varchar) || chr(10) || content, chr(12) order by page_number)) as content_sha256, count(*) as page_count from o group by document_id""")
