@@ -30,6 +30,10 @@ DATE = re.compile(rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}\s*,?\s+\d{{4}}\b|\b\d{{1,2}}
 YEAR = re.compile(r"\d{4}")
 _N = r"(?:\d{1,4}|[ivxlc]{1,6})"
 PAGE_NUMBER = re.compile(rf"(?i)^[\s\[({{<~*=_.\-–—|]*(?:(?:page|pages|pg|p|sheet|folio)\b[.:#\s]*(?:no\.?\s*)?{_N}|\d{{1,4}})(?:\s*(?:/|of|\||-|–)\s*\d{{1,4}})?[\s\])}}>~*=_\-–—|]*$")
+# A lone number that was misread (l4, I, |2, 1O) or is roman; only at page edges a page number.
+_M = r"[\dlIOoS|]{1,4}"
+_ROMAN = r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})|(?=[IVXLC])(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
+LONE_NUMBER = re.compile(rf"^[\s\[({{<~*=_.\-–—]*(?:(?i:page|pages|pg|p|sheet|folio)\b[.:#\s]*(?i:no\.?\s*)?)?(?:{_M}|{_ROMAN})(?:\s*(?:/|of|-|–)\s*{_M})?[\s\])}}>~*=_\-–—]*$")
 WORD = re.compile(r"@?[^\W_]+(?:[@'’\-|!]?[^\W_]+)*@?")
 TAIL = re.compile(rf"([^\W_][^\s]*?)[{BREAK_MARKS}][ \t\r]*$")
 HEAD = re.compile(r"^\s*(@?[^\W_]+(?:[@'’\-]?[^\W_]+)*)")
@@ -57,6 +61,8 @@ def shape_of(line: str) -> str:
     n = len(s)
     if n <= 40 and PAGE_NUMBER.match(s):
         return "number" if n <= 3 or not s.isdigit() else "digits"
+    if n <= 40 and LONE_NUMBER.match(s):
+        return "lone"
     if not s[0].isalpha() and s.upper() == s.lower():  # no letters
         return "digits"
     if "\t" in s:
@@ -78,7 +84,7 @@ def first_labels(feats: list[str]) -> str:
     for f in feats:
         shape, _, place = f.partition("/")
         edge = place in "fsnl" and place != ""
-        out.append("X" if shape == "blank" else "P" if shape == "number" and edge else "H" if shape == "title" and edge else "B")
+        out.append("X" if shape == "blank" else "P" if shape in ("number", "lone") and edge else "H" if shape == "title" and edge else "B")
     return "".join(out)
 
 
@@ -308,10 +314,11 @@ def _signs(model: Markov, words: bytes):
             out: list[tuple] = []
             for page, doc, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 lines = content.split("\n")
-                labels = model.label(features(lines))
+                feats = features(lines)
+                labels = model.label(feats)
                 body = [s == "B" for s in labels]
                 for i, (s, line) in enumerate(zip(labels, lines)):
-                    if s == "P" and PAGE_NUMBER.match(line.strip()):
+                    if s == "P" and (PAGE_NUMBER.match(line.strip()) or feats[i].startswith("lone/") and feats[i][-1] != "m"):
                         out.append((page, doc, i, "page_number", "", ""))
                     elif s == "H":
                         out += [(page, doc, i, "header", k, "") for k in header_keys(line)]

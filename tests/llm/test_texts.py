@@ -136,3 +136,15 @@ def test_scanned_pages(spark):
     assert "approved the long-term lease" in text[1] and "recommended it" in text[1] and "Sheet" not in text[1] and text[11] is None
     empty = pages.limit(0)
     assert scanned.faults(empty).count() == 0
+
+
+def test_lone_page_numbers_misread_or_roman(spark):
+    # the last line of each page is its number; the same marks in mid-page are body
+    ends = ["l", "l4", "ll", "I", "iv", "XII", "1O", "|2", "Page l4", "l of 1O"]
+    text = "\n\n".join(["The board met and heard the report of the clerk"] * 4)
+    rows = [(i, i, f"{text}\n\nl\n\n{text}\n\n{e}") for i, e in enumerate(ends)] + [(i, i, f"{text}\n\n{text}\n\n{i}") for i in range(20, 60)]
+    pages = spark.createDataFrame(rows, "id long, document_id long, content string")
+    found = {(r.page_id, r.line_no) for r in scanned.faults(pages).where("fault = 'page_number'").collect()}
+    assert found == {(i, len(c.split("\n")) - 1) for i, _, c in rows}
+    for word in ("mix", "so", "to", "oil", "civil", ""):
+        assert not scanned.LONE_NUMBER.match(word)
