@@ -32,6 +32,7 @@ class Options:
     group: str = "none"
     limit: int = 20
     expand: bool = True
+    stems: bool = True
 
     def __post_init__(self) -> None:
         if not 2 <= len(self.query.strip()) <= 300:
@@ -48,8 +49,12 @@ class Options:
         return [self.query, *(expand(self.query) if self.expand else [])]
 
 
-def _ranks(analysed: Column, queries: list[str], weight: float, rank: str) -> Column:
-    words = fulltext.wanted(*queries)
+def _analyse(c: Column, stems: bool) -> Column:
+    return fulltext.stemmed(fulltext.analyse(c)) if stems else fulltext.analyse(c)
+
+
+def _ranks(analysed: Column, queries: list[str], weight: float, rank: str, stems: bool) -> Column:
+    words = fulltext.wanted(*queries, stems=stems)
     if not words:
         return F.lit(0.0)
     return fulltext.cover_density(words, weight)(analysed) if rank == "cover" else fulltext.frequency_rank(analysed, words, weight)
@@ -74,8 +79,8 @@ def items(items: DataFrame, documents: DataFrame, roll_calls: DataFrame, o: Opti
     equal file number, trigram likeness of the title, and a little for a final vote."""
     queries = o.queries
     title, content = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
-    analysed = fulltext.analyse(F.concat(title, F.lit(" "), content))
-    hit = fulltext.matches(analysed, *queries)
+    analysed = _analyse(F.concat(title, F.lit(" "), content), o.stems)
+    hit = fulltext.matches(analysed, *queries, stems=o.stems)
     number = text.file_number(F.lit(o.query))
     hit = hit | F.coalesce(F.col("file_number") == number, F.lit(False))
     found = items.where(hit).join(documents.select(F.col("id").alias("document_id"), "meeting_date", "year"), "document_id").where(F.col("year").between(o.from_year, o.to_year))
@@ -91,7 +96,7 @@ def items(items: DataFrame, documents: DataFrame, roll_calls: DataFrame, o: Opti
     best = best.join(finals, "id", "left")
     low = o.query.lower()
     score = (
-        1.8 * _ranks(analysed, queries, 0.4, rank) + 3.2 * _ranks(fulltext.analyse(title), queries, 1.0, rank)
+        1.8 * _ranks(analysed, queries, 0.4, rank, o.stems) + 3.2 * _ranks(_analyse(title, o.stems), queries, 1.0, rank, o.stems)
         + F.when(F.lower(title).contains(low), 2.5).otherwise(0.0) + F.when(F.col("file_number") == number, 8.0).otherwise(0.0)
         + 0.7 * fuzzy.similarity(F.lower(title), F.lit(low)) + F.when(F.col("has_final"), 0.12).otherwise(0.0)
     )
@@ -104,13 +109,13 @@ def pages(pages: DataFrame, documents: DataFrame, items: DataFrame, o: Options,
     """(page_id, document_id, page_number, meeting_date, score, item_id, rank), best first: with the item of a page of
     minutes that its page range holds, one that matches before others, then by ordinal."""
     queries = o.queries
-    analysed = fulltext.analyse(F.col("content"))
-    found = pages.where(fulltext.matches(analysed, *queries)).select(F.col("id").alias("page_id"), "document_id", "page_number", "content", F.round(_ranks(analysed, queries, 0.1, rank), 6).alias("score"))
+    analysed = _analyse(F.col("content"), o.stems)
+    found = pages.where(fulltext.matches(analysed, *queries, stems=o.stems)).select(F.col("id").alias("page_id"), "document_id", "page_number", "content", F.round(_ranks(analysed, queries, 0.1, rank, o.stems), 6).alias("score"))
     d = documents.select(F.col("id").alias("document_id"), "meeting_date", "year", "kind").where(F.col("year").between(o.from_year, o.to_year))
     if o.kind:
         d = d.where(F.col("kind") == o.kind)
     top = found.join(d, "document_id").orderBy(F.desc("score"), F.desc("meeting_date"), "page_number", "page_id").limit(o.limit)
-    i = items.select("document_id", F.col("id").alias("item_id"), "ordinal", "start_page", "end_page", fulltext.matches(fulltext.analyse(F.concat_ws(" ", "title", "content")), *queries).alias("fits"))
+    i = items.select("document_id", F.col("id").alias("item_id"), "ordinal", "start_page", "end_page", fulltext.matches(_analyse(F.concat_ws(" ", "title", "content"), o.stems), *queries, stems=o.stems).alias("fits"))
     near = top.select("page_id", "document_id", "page_number", "kind").where(F.col("kind") == "minutes").join(i, "document_id").where(F.col("page_number").between(F.col("start_page"), F.col("end_page")))
     one = near.groupBy("page_id").agg(F.min_by("item_id", F.struct(~F.col("fits"), "ordinal", "item_id")).alias("item_id"))
     return top.join(one, "page_id", "left").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("meeting_date"), "page_number", "page_id"))).select("page_id", "document_id", "page_number", "meeting_date", "content", "score", "item_id", "rank")
@@ -120,18 +125,18 @@ def comments(comments: DataFrame, documents: DataFrame, o: Options, rank: str =
     """(comment_id, document_id, meeting_date, speaker, page_number, score, rank), best first; a speaker filter takes
     its text literally, in any case."""
     queries = o.queries
-    said, speaker = fulltext.analyse(F.coalesce("content", F.lit(""))), fulltext.analyse(F.coalesce("speaker", F.lit("")))
-    hit = fulltext.matches(fulltext.analyse(F.concat_ws(" ", F.coalesce("speaker", F.lit("")), F.coalesce("content", F.lit("")))), *queries)
+    said, speaker = _analyse(F.coalesce("content", F.lit("")), o.stems), _analyse(F.coalesce("speaker", F.lit("")), o.stems)
+    hit = fulltext.matches(_analyse(F.concat_ws(" ", F.coalesce("speaker", F.lit("")), F.coalesce("content", F.lit(""))), o.stems), *queries, stems=o.stems)
     found = comments.where(hit)
     if o.speaker:
         found = found.where(F.lower("speaker").contains(o.speaker.lower()))
     d = documents.select(F.col("id").alias("document_id"), "meeting_date", "year").where(F.col("year").between(o.from_year, o.to_year))
-    score = _ranks(speaker, queries, 1.0, rank) + _ranks(said, queries, 0.4, rank)
+    score = _ranks(speaker, queries, 1.0, rank, o.stems) + _ranks(said, queries, 0.4, rank, o.stems)
     top = found.join(d, "document_id").withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), F.desc("meeting_date"), "ordinal", "id").limit(o.limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("meeting_date"), "ordinal", "id"))).select(F.col("id").alias("comment_id"), "document_id", "meeting_date", "speaker", "page_number", "content", "score", "rank")
 
 
-def entity_matches(entities: DataFrame, items: DataFrame, query: str, limit: int) -> DataFrame:
+def entity_matches(entities: DataFrame, items: DataFrame, query: str, limit: int, stems: bool = True) -> DataFrame:
     """(file_number, matched_values, score): files whose entities match the query as words, as a part, or by word
     similarity of 0.62; at most five values each."""
     plain = query.lower()
@@ -139,7 +144,7 @@ def entity_matches(entities: DataFrame, items: DataFrame, query: str, limit: int
         plain = " ".join(b if w == a else w for w in plain.split())
     plain = " ".join(w for w in plain.replace('"', " ").replace("(", " ").replace(")", " ").split() if w != "or")
     e = entities.withColumn("near", fuzzy.word_similarity(plain)(F.col("normalized_value")))
-    hit = fulltext.matches(fulltext.analyse(F.concat_ws(" ", "display_value", "normalized_value")), query) | F.col("normalized_value").contains(plain) | (F.col("near") >= 0.62)
+    hit = fulltext.matches(_analyse(F.concat_ws(" ", "display_value", "normalized_value"), stems), query, stems=stems) | F.col("normalized_value").contains(plain) | (F.col("near") >= 0.62)
     e = e.where(hit).withColumn("s", F.greatest("near", fuzzy.similarity(F.col("normalized_value"), F.lit(plain))))
     rows = e.join(items.select(F.col("id").alias("item_id"), "file_number"), "item_id").where(F.col("file_number").isNotNull())
     out = rows.groupBy("file_number").agg(F.slice(F.array_sort(F.collect_set("display_value")), 1, 5).alias("matched_values"), F.round(F.max("s"), 6).alias("score"))

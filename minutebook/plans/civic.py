@@ -84,7 +84,15 @@ select item_id, document_id, meeting_date, file_number, score, group_count, tota
 
 @query(ITEM_SEARCH_SQL)
 def s02_item_search(spark: SparkSession, sf: str) -> DataFrame:
-    o = search.Options("overtime costs", from_year=2000, group="file", expand=False)
+    o = search.Options("overtime costs", from_year=2000, group="file", expand=False, stems=False)
+    found = search.items(_items(spark, sf), _documents(spark, sf), _calls(spark, sf), o)
+    return found.select("item_id", "document_id", "meeting_date", "file_number", "score", "group_count", "total", "rank")
+
+
+@query()
+def s02_item_search_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    """Other forms of the words match too."""
+    o = search.Options("library hearing", from_year=2000, group="file", expand=False)
     found = search.items(_items(spark, sf), _documents(spark, sf), _calls(spark, sf), o)
     return found.select("item_id", "document_id", "meeting_date", "file_number", "score", "group_count", "total", "rank")
 
@@ -94,7 +102,7 @@ with v as (select distinct item_id from {C} where is_final and len(list_filter(a
 f as (select i.id, d.meeting_date, i.ordinal from {I} i join {D} d on d.id = i.document_id where contains({_A("coalesce(i.title, '') || ' ' || coalesce(i.content, '')")}, ' library ') and i.id in (select item_id from v))
 select id as item_id, cast(1 as bigint) as group_count, count(*) over () as total from f""")
 def s02_item_search_by_voter(spark: SparkSession, sf: str) -> DataFrame:
-    o = search.Options("library", voter="Nunarte", position="aye", final=True, limit=50, expand=False)
+    o = search.Options("library", voter="Nunarte", position="aye", final=True, limit=50, expand=False, stems=False)
     return search.items(_items(spark, sf), _documents(spark, sf), _calls(spark, sf), o).select("item_id", "group_count", "total")
 
 
@@ -103,7 +111,7 @@ def s02_item_search_cover(spark: SparkSession, sf: str) -> DataFrame:
     """With cover density and snippets on the top rows."""
     o = search.Options('"night lighting" OR "tenant relocation" -parking', limit=20)
     found = search.items(_items(spark, sf), _documents(spark, sf), _calls(spark, sf), o, rank="cover")
-    cut = fulltext.headline(fulltext.wanted(*o.queries), 80, 30, 2)
+    cut = fulltext.headline(fulltext.wanted(*o.queries, stems=True), 80, 30, 2, stems=True)
     return found.select("item_id", "title", "score", "rank", cut(F.col("content")).alias("snippet"))
 
 
@@ -118,7 +126,7 @@ n as (
   from r join i on i.document_id = r.document_id and r.page_number between i.start_page and i.end_page where r.kind = 'minutes')
 select r.page_id, r.document_id, r.page_number, r.meeting_date, r.score, n.item_id, r.rank from r left join n on n.page_id = r.page_id and n.k = 1""")
 def s01_page_search(spark: SparkSession, sf: str) -> DataFrame:
-    o = search.Options('"boulevard budget" -hospital', expand=False)
+    o = search.Options('"boulevard budget" -hospital', expand=False, stems=False)
     found = search.pages(once(spark, sf, "pages"), _documents(spark, sf), _items(spark, sf), o)
     return found.select("page_id", "document_id", "page_number", "meeting_date", "score", "item_id", "rank")
 
@@ -130,7 +138,7 @@ with f as (
   where (contains({_A("coalesce(speaker, '') || ' ' || coalesce(content, '')")}, ' hydrant ') or contains({_A("coalesce(speaker, '') || ' ' || coalesce(content, '')")}, ' kitchen ')) and contains(lower(speaker), 'a') and d.year between 1996 and 2026)
 select comment_id, document_id, meeting_date, score, row_number() over (order by score desc, meeting_date desc, ordinal, comment_id) as rank from f qualify rank <= 20""")
 def s03_comment_search(spark: SparkSession, sf: str) -> DataFrame:
-    o = search.Options("hydrant OR kitchen", speaker="A", expand=False)
+    o = search.Options("hydrant OR kitchen", speaker="A", expand=False, stems=False)
     return search.comments(once(spark, sf, "public_comments"), _documents(spark, sf), o).select("comment_id", "document_id", "meeting_date", "score", "rank")
 
 

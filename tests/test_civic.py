@@ -46,3 +46,18 @@ def test_rank_fusion_and_rerank_take_all_vectors(spark, tables):
     fused = [r.key for r in civic.v06_rank_fusion_whole(spark, "").collect()]
     assert fused[:2] == [114, 137] and {110, 111} <= set(fused)
     assert {r.vec_id for r in civic.v02_hybrid_rerank_whole(spark, "").collect()} == set(range(140))
+
+
+def test_searches_find_other_forms_of_words(spark, tables):
+    from minutebook.operators import search
+
+    tables["legislative_items"] = ([item(1, "Hearings on libraries", number="230001"), item(2, "Hearing of the library", number="230002"), item(3, "Hearing only")], ITEM)
+    tables["public_comments"] = ([(1, 1, 1, 1, "Kim", "two libraries")], COMMENT)
+    tables["pages"] = ([(1, 1, 1, "both libraries"), (2, 1, 2, None)], PAGE)
+    found = civic.s02_item_search_stemmed(spark, "").collect()
+    assert {r.item_id for r in found} == {1, 2} and all(r.score > 2 for r in found) and found[0].total == 2
+    t = lambda name: civic.table(spark, "", name)
+    for stems in (True, False):
+        o = search.Options("library", expand=False, stems=stems)
+        assert search.comments(t("public_comments"), t("meeting_documents"), o).count() == stems
+        assert search.pages(t("pages"), t("meeting_documents"), t("legislative_items"), o).count() == stems
