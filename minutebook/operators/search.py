@@ -166,11 +166,12 @@ def facets(fused: DataFrame) -> DataFrame:
     return fused.groupBy(name.alias("result_type")).agg(F.count("*").alias("n"))
 
 
-def preview(rows: DataFrame, column: str, query: str, limit: int) -> DataFrame:
+def preview(rows: DataFrame, column: str, query: str, limit: int | None = None) -> DataFrame:
     """Rows that contain any word of the query, by how many words they contain."""
     words = [w for w in query.lower().split() if w]
     n = sum((F.lower(F.col(column)).contains(w).cast("int") for w in words), F.lit(0))
-    return rows.withColumn("hits", n).where("hits > 0").orderBy(F.desc("hits"), *rows.columns[:1]).limit(limit)
+    found = rows.withColumn("hits", n).where("hits > 0").orderBy(F.desc("hits"), *rows.columns[:1])
+    return found if limit is None else found.limit(limit)
 
 
 def budget(limit: int) -> int:

@@ -165,7 +165,7 @@ def s05_unified_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select id as comment_id, cast(contains(lower(content), 'tree') as int) + cast(contains(lower(content), 'budget') as int) as hits from (select distinct * from public_comments) where contains(lower(content), 'tree') or contains(lower(content), 'budget')""")
 def s09_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return search.preview(once(spark, sf, "public_comments", "content"), "content", "tree budget", 1_000_000).select(F.col("id").alias("comment_id"), "hits")
+    return search.preview(once(spark, sf, "public_comments", "content"), "content", "tree budget").select(F.col("id").alias("comment_id"), "hits")
 
 
 @query(f"""

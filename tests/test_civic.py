@@ -61,3 +61,12 @@ def test_searches_find_other_forms_of_words(spark, tables):
         o = search.Options("library", expand=False, stems=stems)
         assert search.comments(t("public_comments"), t("meeting_documents"), o).count() == stems
         assert search.pages(t("pages"), t("meeting_documents"), t("legislative_items"), o).count() == stems
+
+
+def test_preview_has_no_cap(spark, tables, monkeypatch):
+    limits = []
+    whole = civic.search.preview
+    monkeypatch.setattr(civic.search, "preview", lambda rows, column, query, limit=None: limits.append(limit) or whole(rows, column, query, limit))
+    tables["public_comments"] = ([(1, 1, 1, 1, "Kim", "a tree"), (2, 1, 2, 1, "Kim", "tree budget"), (3, 1, 3, 1, "Kim", "other")], COMMENT)
+    assert [(r.comment_id, r.hits) for r in civic.s09_preview(spark, "").collect()] == [(2, 2), (1, 1)]
+    assert limits == [None]
