@@ -76,18 +76,28 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = table(spark, sf_dir, "mix_targets")
-    wanted = table(spark, sf_dir, "documents").join(targets.select("source").distinct(), "source", "left_semi")
-    return mixing.mixed(cut(byte_bpe.token_counts(wanted, "doc_id", "text", ["source"])), targets)
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of the documents whose source is to be mixed."""
+    wanted = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "mix_targets").select("source").distinct(), "source", "left_semi")
+    return cut(byte_bpe.token_counts(wanted, "doc_id", "text", ["source"]))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.in_order(_mix(spark, sf_dir))
+    return mixing.in_order(mixing.mixed(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")))
+
+
+def _shares(spark: SparkSession, sf_dir: str, total: str | None) -> DataFrame:
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mixed(sized, targets, total=total), mixing.demands(sized, targets, total))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return _shares(spark, sf_dir, None)
+
+
+def p9_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix that reaches every share, however small that makes it."""
+    return _shares(spark, sf_dir, mixing.EXACT)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +124,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_shares_exact": p9_shares_exact,
     "p10_found": p10_found,
     "p10_repaired": p10_repaired,
 }

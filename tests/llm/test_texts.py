@@ -68,16 +68,47 @@ def test_encoded_rows(spark):
 
 def test_mix(spark):
     r = random.Random(4)
-    sized = spark.createDataFrame([(i, "big" if i % 3 else "small" if i % 30 else None, r.randint(0, 40), 0) for i in range(4000)], "doc_id long, source string, tokens long, position int").select("doc_id", "source", "tokens")
-    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3), ("gone", 0.0, 1)], "source string, target_share double, max_repeats int")
+    rows = [(i, "big" if i % 3 else "small" if i % 30 else None, r.randint(0, 40), 0) for i in range(4000)] + [(9000, "one", 35, 0)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, tokens long, position int").select("doc_id", "source", "tokens")
+    targets = spark.createDataFrame([("big", 0.3, 1), ("small", 0.4, 3), ("one", 0.2, 3), ("gone", 0.1, 1)], "source string, target_share double, max_repeats int")
+    held = {s: sum(t for _, x, t, _ in rows if x == s) for s in ("big", "small", "one")}
     mix = mixing.mixed(sized, targets).cache()
-    shares = {x.source: x for x in mixing.shares(mix, targets).collect()}
-    assert abs(shares["big"].actual_share - 0.5) < 0.01 and shares["small"].most_repeats <= 3 and shares["gone"].tokens == 0
+    shares = {x.source: x for x in mixing.shares(mix, mixing.demands(sized, targets)).collect()}
+    total = sum(held.values())
+    for s, share, most in (("big", 0.3, 1), ("small", 0.4, 3), ("one", 0.2, 3)):  # to one document, or all repeats
+        want = min(share * total, held[s] * most)
+        assert abs(shares[s].tokens - want) <= 40 and shares[s].most_repeats <= most, s
+        assert shares[s].capped == (held[s] * most < share * total) and abs(shares[s].lacking - (share * total - want)) <= 1
+    assert shares["one"].most_repeats == 3 and shares["one"].capped and shares["gone"].tokens == 0
+    assert abs(sum(x.actual_share for x in shares.values()) - 1) < 1e-9
     assert mix.groupBy("doc_id", "repeat").count().where("count > 1").count() == 0
-    assert mix.agg(F.min("position"), F.max("position")).first()[0] >= 0 and mix.where("position > 1").count() == 0
-    short = {x.source: x for x in mixing.shares(mixing.mixed(sized, targets, total=10**7), targets).collect()}
-    assert short["small"].most_repeats == 3 and short["big"].most_repeats == 1
-    assert mixing.mixed(sized.limit(0), targets).count() == 0
+    assert mix.where("position < 0 or position > 1").count() == 0 and mix.where("source is null or tokens = 0").count() == 0
+    exact = {x.source: x for x in mixing.shares(mixing.mixed(sized, targets, total=mixing.EXACT), mixing.demands(sized, targets, mixing.EXACT)).collect()}
+    assert exact["one"].tokens == 105 and abs(exact["big"].tokens - 105 * 0.3 / 0.2) <= 40 and not exact["one"].capped
+    short = {x.source: x for x in mixing.shares(mixing.mixed(sized, targets, total=10**7), mixing.demands(sized, targets, 10**7)).collect()}
+    assert short["small"].most_repeats == 3 and short["big"].most_repeats == 1 and short["big"].lacking > 0
+    assert mixing.mixed(sized.limit(0), targets).count() == 0 == mixing.mixed(sized, targets.limit(0)).count()
+
+
+def test_schedule(spark):
+    # all of a only in the first half, b twice as often at the end as at the start, c by default
+    sized = spark.createDataFrame([(i, "abc"[i % 3], 1) for i in range(3000)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([(s, 1 / 3, 1) for s in "abc"], "source string, target_share double, max_repeats int")
+    knots = [("a", 0.0, 1.0), ("a", 0.5, 1.0), ("a", 0.500001, 0.0), ("a", 1.0, 0.0), ("b", 0.0, 2.0), ("b", 1.0, 4.0), ("b", None, 9.0), ("c", 0.3, 0.0), ("x", 0.0, 1.0)]
+    mix = mixing.mixed(sized, targets, schedule=spark.createDataFrame(knots, "source string, at double, weight double"))
+    at = {s: sorted(x.position for x in mix.where(F.col("source") == s).collect()) for s in "abc"}
+    assert [len(x) for x in at.values()] == [1000] * 3 and at["a"][-1] <= 0.5001 and abs(at["a"][500] - 0.25) < 0.002
+    assert abs(sum(x < 0.5 for x in at["b"]) - 1000 * (2 * 0.5 + 0.25) / 3) < 3  # the integral of 2 + 2t up to a half over 3
+    assert abs(at["c"][500] - 0.5) < 0.002
+
+
+def test_buckets_do_not_change_what_comes_before(spark):
+    sized = spark.createDataFrame([(i, "ab"[i % 7 == 0], i % 5) for i in range(500)], "doc_id long, source string, tokens long")
+    for size in (7, 10**6):
+        rows = mixing.laid_out(sized, "doc_id", size).collect()
+        for s in "ab":
+            own = sorted((r.before, r.tokens) for r in rows if r.source == s)
+            assert all(a + t == b for (a, t), (b, _) in zip(own, own[1:])) and own[0][0] == 0
 
 
 def test_encodings(spark):
