@@ -176,14 +176,43 @@ def x07_housing_units(spark: SparkSession, sf: str) -> DataFrame:
     return once(spark, sf, "legislative_items", "title", "content").select(F.col("id").alias("item_id"), units.alias("units"))
 
 
-@query()
+_SQUEEZE = lambda x: f"trim(regexp_replace({x}, '[\\s\\x{{a0}}]+', ' ', 'g'))"
+
+
+@query("""
+with t as (select o_orderkey, o_totalprice, case o_orderstatus when 'F' then 'not-to-exceed' when 'O' then 'increase' else 'revenue' end as qualifier from orders)
+select o_orderkey, '$' || cast(cast(floor(o_totalprice) as bigint) as varchar) || '.5 million' as raw, (floor(o_totalprice) + 0.5) * 1e6 as value, qualifier from t
+union all select o_orderkey, '$7k', 7000.0, case when qualifier = 'increase' then 'increase' when qualifier = 'revenue' then 'revenue' else 'stated' end from t""")
 def x06_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts written into a sentence for each order come out with their value and kind."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.floor("o_totalprice").cast("string").alias("n"))
+    before = F.when(F.col("o_orderstatus") == "F", "in an amount not to exceed ").when(F.col("o_orderstatus") == "O", "an increase of ").otherwise("with revenue of ")
+    text_ = F.concat(F.lit("Grant "), before, F.lit("$"), "n", F.lit(".5  million, "), F.when(F.col("o_orderstatus") == "F", F.repeat(F.lit("word "), F.lit(30))).otherwise(""), F.lit("then $7k"))
+    return o.select("o_orderkey", F.explode(extract.amounts(text_)).alias("a")).select("o_orderkey", "a.raw", "a.value", "a.qualifier")
+
+
+@query()
+def x06_item_amounts(spark: SparkSession, sf: str) -> DataFrame:
     whole = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
     return once(spark, sf, "legislative_items", "title", "content").select(F.col("id").alias("item_id"), F.explode(extract.amounts(whole)).alias("a")).select("item_id", "a.*")
 
 
-@query()
+_BARE = lambda c: F.filter(F.transform(c, lambda x: F.trim(F.regexp_replace(text.squeeze(F.regexp_replace(x, "[,;.]", " ")), r"(?i)^(supervisors?\s+)+", ""))), lambda x: ~x.rlike(r"(?i)^(none|\d*)$"))
+_BARE_SQL = lambda c: f"list_filter(list_transform({c}, lambda x: trim(regexp_replace({_SQUEEZE("regexp_replace(x, '[,;.]', ' ', 'g')")}, '(?i)^(supervisors?\\s+)+', ''))), lambda x: not regexp_matches(x, '(?i)^(none|\\d*)$'))"
+
+
+@query(f"""
+with n as (select *, {_BARE_SQL("ayes")} as names from {C})
+select id as roll_call_id, array_to_string(names, ', ') as sponsors from n where len(names) > 0""")
 def x10_sponsors(spark: SparkSession, sf: str) -> DataFrame:
+    """The ayes of each roll call, written as sponsors over several lines, come out in one."""
+    lines = F.concat(F.lit("An item\nSponsors: "), F.array_join("names", ",\n\n"), F.lit(";\nOrdinance of the matter\nSupervisor Nobody"))
+    c = _calls(spark, sf).select(F.col("id").alias("roll_call_id"), _BARE(F.col("ayes")).alias("names")).where(F.size("names") > 0)
+    return c.select("roll_call_id", extract.sponsors(lines).alias("sponsors"))
+
+
+@query()
+def x10_item_sponsors(spark: SparkSession, sf: str) -> DataFrame:
     return once(spark, sf, "legislative_items", "content").select(F.col("id").alias("item_id"), extract.sponsors(F.col("content")).alias("sponsors"))
 
 
@@ -212,19 +241,51 @@ def x14_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supervisors").select(F.col("id").alias("supervisor_id"), text.name_key(F.col("family_name")).alias("key"), text.slug(F.col("display_name")).alias("slug"))
 
 
-@query()
+_PLAIN = lambda x: F.trim(F.regexp_replace(text.squeeze(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\[\]\x00]", " ")), "^$", "none"))
+_PLAIN_SQL = lambda x: f"trim(regexp_replace({_SQUEEZE(f"regexp_replace(coalesce({x}, ''), '[\\[\\]\\x00]', ' ', 'g')")}, '^$', 'none'))"
+
+
+@query(f"""
+select document_id, cast(row_number() over (partition by document_id order by ordinal, id) as int) as ordinal, lpad(cast(id % 1000000 as varchar), 6, '0') as file_number, {_PLAIN_SQL("title")} as title,
+  length({_PLAIN_SQL("content")}) as length, 10 * ordinal as start_page from {I}""")
 def x01_items_parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return parsers.contexts(parsers.items(table(spark, sf, "pages")))
+    """Items written as the pages of their documents, a page for the header and one for the text, come out again."""
+    i = _items(spark, sf).select("document_id", "id", "ordinal", _PLAIN(F.col("title")).alias("title"), _PLAIN(F.col("content")).alias("content"))
+    head = F.concat(F.lpad((F.col("id") % 1000000).cast("string"), 6, "0"), F.lit("  ["), F.regexp_replace("title", " ", "\n"), F.lit("]"))
+    pages = i.select("document_id", F.explode(F.array(F.struct((F.col("ordinal") * 10).alias("page_number"), head.alias("content")), F.struct((F.col("ordinal") * 10 + 1).alias("page_number"), F.col("content").alias("content")))).alias("p")).select("document_id", "p.*")
+    return parsers.items(pages).select("document_id", "ordinal", "file_number", "title", (F.length("content") - F.instr("content", "]") - 1).cast("long").alias("length"), "start_page")
 
 
-@query()
+@query(f"""
+with c as (select *, {", ".join(f"{_BARE_SQL(x)} as {x}_" for x in ("ayes", "noes", "absent", "excused"))} from {C})
+select item_id, cast(row_number() over (partition by item_id order by sequence, id) as int) as sequence, right({_PLAIN_SQL("action")}, 1200) as action, array_to_string(ayes_, '|') as ayes, array_to_string(noes_, '|') as noes,
+  array_to_string(absent_, '|') as absent, array_to_string(excused_, '|') as excused from c""")
 def x02_roll_calls_parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return parsers.roll_calls(once(spark, sf, "legislative_items", "content"), ["id"])
+    """Roll calls written as the text of their items, with counts before, after and without names, come out again."""
+    c = _calls(spark, sf)
+    names = {x: _BARE(F.col(x)) for x in ("ayes", "noes", "absent", "excused")}
+    count = lambda x: F.size(names[x]).cast("string")
+    lines = (
+        _PLAIN(F.col("action")), F.concat(F.lit("Ayes: "), count("ayes"), F.lit(" - "), F.array_join(names["ayes"], ",\n")), F.concat(F.lit("Noes: "), F.array_join(names["noes"], ", "), F.lit(" - "), count("noes")),
+        F.concat(F.lit("Absent: "), count("absent"), F.when(F.size(names["absent"]) > 0, F.concat(F.lit("\nPage 7\n"), F.array_join(names["absent"], ", "))).otherwise("")), F.concat(F.lit("Excused: "), count("excused"), F.lit(" – "), F.array_join(names["excused"], ", ")),
+    )
+    written = c.select("item_id", "sequence", "id", F.concat_ws("\n", *lines).alias("l")).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("sequence", "id", "l"))).alias("all"))
+    found = parsers.roll_calls(written.select("item_id", F.array_join(F.transform("all", lambda x: x["l"]), "\n").alias("content")), ["item_id"])
+    return found.select("item_id", "sequence", "action", *[F.array_join(x, "|").alias(x) for x in names])
 
 
-@query()
+@query(f"""
+with n as (select *, {_SQUEEZE("speaker")} as s, {_SQUEEZE("content")} as c from {N} where speaker is not null and content is not null)
+select document_id, cast(row_number() over (partition by document_id order by page_number, ordinal, id) as int) as ordinal, page_number, s as speaker, c as content from n
+where c <> '' and regexp_matches(s, '^[\\p{{L}}][\\p{{L}} .,''’()-]{{1,79}}$') and len(string_split(s, ' ')) <= 8 and not regexp_matches(s, '(?i)^(Page|Printed|Board)')""")
 def x05_comments_parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return parsers.comments(table(spark, sf, "pages"))
+    """Comments written as pages, in two lines each, come out again, in order, with their speakers."""
+    n = once(spark, sf, "public_comments").where("speaker is not null and content is not null").select("document_id", "page_number", "ordinal", "id", text.squeeze(F.col("speaker")).alias("s"), text.squeeze(F.col("content")).alias("c"))
+    n = n.where((F.col("c") != "") & F.col("s").rlike(r"^[\p{L}][\p{L} .,'’()-]{1,79}$") & (F.size(F.split("s", " ")) <= 8) & ~F.col("s").rlike("(?i)^(Page|Printed|Board)"))
+    both = F.concat("s", F.lit("; "), F.col("c"))
+    pages = n.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("ordinal", "id", both.alias("l")))).alias("all"))
+    pages = pages.select("document_id", "page_number", F.concat(F.lit("Call to order; x\nPublic Comment\n"), F.array_join(F.transform("all", lambda x: x["l"]), "\nPrinted at noon\n"), F.lit("\nADJOURNMENT\nNobody; after it")).alias("content"))
+    return parsers.comments(pages)
 
 
 @query(f"""

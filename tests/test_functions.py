@@ -63,11 +63,25 @@ def test_osa_is_symmetric_and_bounded(a, b):
     assert d == fuzzy.osa(b, a) and abs(len(a) - len(b)) <= d <= max(len(a), len(b)) and (d == 0) == (a == b)
 
 
-def test_extraction():
-    assert [(a["value"], a["qualifier"]) for a in extract.amounts_of("not to exceed $1,500 and increase of $2.5 million in fees, revenue of $3")] == [(1500.0, "not-to-exceed"), (2500000.0, "increase"), (3.0, "increase")]
-    assert extract.amounts_of(None) == [] and extract.amounts_of("$,") == []
-    assert extract.sponsors_of("Sponsors: Kim,\nLee\nOrdinance amending") == "Kim, Lee"
-    assert extract.sponsors_of(None) is None
+def test_amounts(spark):
+    texts = [
+        "not to exceed $1,500 and increase of $2.5 million in fees, revenue of $3", None, "$, and $.5 of it", "NTE: $7k",
+        "x" * 200 + " reduced by $10 b. " + "y" * 200 + " $ 4 of revenue", "funding $5 then $5 funding of $5.00", "$1 " * 30, "w " * 200_000 + "$9",
+    ]
+    got = [[(a["value"], a["qualifier"]) for a in x] for x in one(spark, extract.amounts, *texts)]
+    assert got[0] == [(1500.0, "not-to-exceed"), (2500000.0, "increase"), (3.0, "increase")]
+    assert got[1:5] == [[], [], [(7000.0, "not-to-exceed")], [(10e9, "decrease"), (4.0, "revenue")]]
+    assert got[5] == [(5.0, "appropriation")] and got[6] == [(1.0, "stated")] and got[7] == [(9.0, "stated")]
+    assert one(spark, extract.amounts, texts[5])[0][0]["raw"] == "$5.00"
+    assert len(one(spark, extract.amounts, " ".join(f"${n}" for n in range(40)))[0]) == extract.MOST
+
+
+def test_sponsors(spark):
+    got = one(
+        spark, extract.sponsors, "Sponsors: Kim,\nLee\nOrdinance amending", None, "Sponsor:\n\n Supervisors Ann and\nBo.\nCy", "intro\nSupervisor Kim, Lee;\nResolution x", "Supervisor Kim moved\nx",
+        "x\n" * 9 + "Supervisor Late", "Sponsor: \nMotion y", "Sponsor Supervisor Dee",
+    )
+    assert got == ["Kim, Lee", None, "Ann and Bo", "Kim, Lee", None, None, None, "Dee"]
 
 
 def test_facts_of_columns(spark):
@@ -87,3 +101,11 @@ def test_intent():
     i = intent.interpret("How did Kim vote against housing units in 2015 or 1998?", ["Kim"])
     assert (i.voter, i.position, i.from_year, i.to_year, i.query) == ("Kim", "no", 1998, 2015, intent.HOUSING_QUERY)
     assert intent.expand("repairs on Oak St.") == ["repairs on Oak Street."]
+    j = intent.interpret("Who testified about trees? https://x.org/2020", ["Kim"])
+    assert (j.voter, j.position, j.suggested, j.query, j.from_year) == (None, None, "comments", "testified about trees", intent.FIRST_YEAR)
+    assert intent.interpret("why", []).query == "why" and intent.interpret("support or opposition?", []).position == "no"
+    k = intent.merged(i, position="aye", to_year=None, final=True)
+    assert (k.position, k.to_year, k.final, k.voter) == ("aye", 2015, True, "Kim")
+    aliases = {r"\brent control\b": ['"rent control"', '"rent controlled"']}
+    assert intent.expand("What is rent control?", aliases) == ['"rent control"', '"rent controlled"', "is rent control"]
+    assert intent.expand("what contracts", {}) == ["what agreement", "contracts", "agreement"]

@@ -23,24 +23,60 @@ Not; a comment
 """
 
 
-def test_items_roll_calls_and_comments():
+def calls_of(spark, *contents):
+    df = spark.createDataFrame(list(enumerate(contents)), "id int, content string")
+    return [(r.id, r.sequence, r.action, r.ayes, r.noes, r.absent, r.excused) for r in parsers.roll_calls(df, ["id"]).orderBy("id", "sequence").collect()]
+
+
+def test_items():
     items = parsers.items_of([(1, MINUTES[: MINUTES.index("230002")]), (3, MINUTES[MINUTES.index("230002") :])])
     assert [(i["file_number"], i["title"], i["start_page"]) for i in items] == [("230001", "Street Lighting", 1), ("230002", "Old Pier - Proposed Lease", 3)]
-    calls = parsers.roll_calls_of(items[0]["content"])
-    assert [(c["ayes"], c["noes"]) for c in calls] == [(["Kim", "Lee", "Chan"], ["Park"])] and calls[0]["action"].endswith("following vote:")
-    assert parsers.roll_calls_of("Ayes: Kim, Lee - 2")[0]["ayes"] == ["Kim", "Lee"]
-    assert [(c["speaker"], c["content"]) for c in parsers.comments_of([(1, MINUTES)])] == [("Ann Bell", "spoke on trees and parks."), ("Speaker", "spoke too")]
-    assert parsers.items_of([(1, None), (2, "")]) == [] and parsers.roll_calls_of("") == []
+    assert parsers.items_of([(1, None), (2, "")]) == []
     old = parsers.items_of([(1, "[Old Title]\nabout File 12-A.\n[Nothing here]\nx")])
     assert [(i["file_number"], i["title"]) for i in old] == [("12-A", "Old Title")]
 
 
+def test_roll_calls(spark):
+    got = calls_of(
+        spark,
+        "Motion to adopt\nFAILED by the vote:\nAyes: 3 - Kim, Lee,\nPage 4\nChan\nNoes: 1 - Park\nMoved on.\nADOPTED\nAyes: Supervisors Kim, Lee; - 2\nNoes: 0\nAbsent: none\nrest",
+        "Ayes: 2\nKim, Lee, Chan\nlater",  # a count alone, more names than it says
+        "Noes: Ann,\n Bell\n230001 [Next]\nNoes: 1 - X",  # no count: all lines to the next item
+        "x\nAyes:\n2 - Kim,\nLee\nExcused: Al.\n",  # the count on the wrapped line
+        None, "", "no votes", "Ayes: " + "A" * 100_000,
+    )
+    assert got[:2] == [
+        (0, 1, "Motion to adopt FAILED by the vote:", ["Kim", "Lee", "Chan"], ["Park"], [], []),
+        (0, 2, "Moved on. ADOPTED", ["Kim", "Lee"], [], [], []),
+    ]
+    assert got[2:6] == [(1, 1, "", ["Kim", "Lee"], [], [], []), (2, 1, "", [], ["Ann", "Bell"], [], []), (2, 2, "230001 [Next]", [], ["X"], [], []), (3, 1, "x", ["Kim", "Lee"], [], [], ["Al"])]
+    assert len(got) == 7 and got[6][3] == ["A" * 100_000]
+
+
+def test_comments(spark):
+    rows = [
+        (7, 1, "Intro; not a comment\nPUBLIC COMMENT\nno speaker yet\nAnn Bell; spoke on trees\nPage 4\nand parks."),
+        (7, 2, "and goes on\n\nSpeaker; spoke too\nOne two three four five six seven eight nine; goes on\nJosé D’Arc; \nADJOURNMENT\nNot; a comment"),
+        (7, 4, "Bo; nothing\nPUBLIC COMMENT CONTINUED\nBo; again"), (7, 5, None), (8, 1, ""), (None, 1, "PUBLIC COMMENT\nA B; c"),
+    ]
+    pages = spark.createDataFrame([*rows, rows[0]], "document_id long, page_number int, content string")
+    got = [(r.document_id, r.ordinal, r.page_number, r.speaker, r.content) for r in parsers.comments(pages).orderBy("document_id", "ordinal").collect()]
+    assert got == [
+        (7, 1, 1, "Ann Bell", "spoke on trees and parks. and goes on"),
+        (7, 2, 2, "Speaker", "spoke too One two three four five six seven eight nine; goes on"),
+        (7, 3, 4, "Bo", "again"),
+    ]
+    assert parsers.comments(pages.limit(0)).count() == 0
+
+
 def test_parsers_on_tables(spark):
     pages = spark.createDataFrame([(1, 7, 1, MINUTES, "x"), (1, 7, 1, MINUTES, "x"), (2, 8, 1, None, "y")], "id long, document_id long, page_number int, content string, title string")
     items = parsers.contexts(parsers.items(pages))
     assert items.count() == 2 and items.where(F.col("context").startswith("23000")).count() == 2
     assert parsers.roll_calls(items, ["document_id", "ordinal"]).count() == 2
     assert parsers.comments(pages).count() == 2 and parsers.items(pages.limit(0)).count() == 0
+    text = spark.createDataFrame([("230001 [A\nB] first (Clerk of the Board) rest",), ("plain " * 2000,), (None,)], "c string")
+    assert [len(r[0]) if r[0] else r[0] for r in text.select(parsers.summary(F.col("c"))).collect()] == [5, 2999, None]
 
 
 def test_readers(spark):
