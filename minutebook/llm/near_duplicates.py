@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minutebook.llm.segment_join import components, pairs_within
 from minutebook.llm.text import ascii_words
 from minutebook.session import cut
 
@@ -127,16 +128,22 @@ def item_pairs(items: DataFrame, threshold: float = 0.7, n: int = 3, recall: flo
     fewer than n of them share no run and make no pair."""
     members, links = item_matches(items, threshold, n, recall)
     slim = members.select("id", "rep")
-    some = members.where(F.col("size") >= n).select("id", "rep")
-    copies = some.alias("x").join(some.alias("y"), "rep").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    copies = pairs_within(members.where(F.col("size") >= n), ["rep"], "id")
     across = links.join(slim.select(F.col("id").alias("x"), F.col("rep").alias("a")), "a").join(slim.select(F.col("id").alias("y"), F.col("rep").alias("b")), "b")
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return copies.unionByName(across).select(F.col("a").alias("item_id_a"), F.col("b").alias("item_id_b"))
 
 
-def item_classes(items: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
-    """One row an item: its class of equal words, the members of that class, and its links to other classes."""
+def item_groups(items: DataFrame, threshold: float = 0.7, n: int = 3, recall: float = 0.999) -> DataFrame:
+    """One row an item with content: (item_id, class_id, group_id, copies, links, members). class_id is the least item
+    of equal words and copies the number of these, links the number of other classes that are similar to it; group_id
+    is the least item that a chain of similar classes leads to, members the number of items of its group. A third of
+    all items in one group is as good as any: no pairs within classes are made."""
     members, links = item_matches(items, threshold, n, recall)
+    links = cut(links.select("a", "b"))
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    sizes = members.groupBy("rep").agg(F.count("*").alias("copies")).join(ends, "rep", "left")
-    return members.select("id", "rep").join(sizes, "rep").select(F.col("id").alias("item_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    roots = components(links).select(F.col("node").alias("rep"), F.col("root").alias("group_id"))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("copies")).join(ends, "rep", "left").join(roots, "rep", "left")
+    sizes = cut(sizes.select("rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "rep").alias("group_id")))
+    whole = sizes.groupBy("group_id").agg(F.sum("copies").alias("members"))
+    return members.select("id", "rep").join(sizes.join(whole, "group_id"), "rep").select(F.col("id").alias("item_id"), F.col("rep").alias("class_id"), "group_id", "copies", "links", "members")

@@ -13,8 +13,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.item_pairs(table(spark, sf_dir, "legislative_items"))
 
 
-def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.item_classes(table(spark, sf_dir, "legislative_items"))
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.item_groups(table(spark, sf_dir, "legislative_items"))
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeated(spark, sf_dir).select("page_id", "line_no")
 
 
+def p7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates with up to a third of their words open."""
+    lines = repeated_lines.lines_of(table(spark, sf_dir, "pages"), table(spark, sf_dir, "meeting_documents"))
+    return repeated_lines.templates(*lines, slots=1 / 3).select("kind", "template", "slots", "documents").distinct()
+
+
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated(table(spark, sf_dir, "pages"), _repeated(spark, sf_dir))
 
@@ -110,7 +116,7 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
-    "p1_classes": p1_classes,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_entities": p2_entities,
     "p4_found": p4_found,
@@ -120,6 +126,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
+    "p7_templates": p7_templates,
     "p7_clean": p7_clean,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,

@@ -84,14 +84,28 @@ def near(df: DataFrame, key: str, block: list[str], value: str, k: int = 1, shor
     return met.mapInArrow(_verify(k), f"a {kind}, b {kind}")
 
 
-def components(links: DataFrame, most: int = 40) -> DataFrame:
+def pairs_within(df: DataFrame, keys: list[str], name: str, group: int = 2000) -> DataFrame:
+    """(a, b), a < b, of the values of column `name` in rows with equal keys; null keys pair with nothing, and a value
+    that occurs twice counts once. A class of more than `group` rows is cut into that many parts on one side, which meet
+    copies of the other side, so that no task holds a whole large class."""
+    t = df.select(*keys, name).distinct()
+    big = t.groupBy(*keys).agg(F.ceil(F.count("*") / group).cast("int").alias("parts")).where("parts > 1")
+    t = t.join(big, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = t.select(*keys, F.col(name).alias("a"), F.pmod(F.xxhash64(name), F.col("parts")).cast("int").alias("part"))
+    y = t.select(*keys, F.col(name).alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return x.join(y, [*keys, "part"]).where(F.col("a") < F.col("b")).select("a", "b")
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in links (a, b): root is the least node that links lead to.
 
     Alternates large and small stars: every node tells its larger neighbours, then its smaller ones, of the least it
-    knows, which at least halves long chains; each round is written to the shared folder. Nothing is gathered.
+    knows, which at least halves long chains; each round is written to the shared folder, until one changes nothing.
+    Nothing is gathered.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
-    for _ in range(most):
+    was = None
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -100,11 +114,10 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         new = cut(small.where(F.col("u") != F.col("v")).distinct())
-        sums = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first() for x in (edges, new)]
+        now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         edges = new
-        if sums[0] == sums[1]:
+        if now == was:
             break
-    else:
-        raise RuntimeError("components have not settled")
+        was = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from minutebook.functions.fuzzy import osa
 from minutebook.llm import addresses, names, near_duplicates
-from minutebook.llm.segment_join import components, near, within
+from minutebook.llm.segment_join import components, near, pairs_within, within
 
 ITEM = "id long, title string, content string, rep string, band int"
 
@@ -43,8 +43,22 @@ def test_near_duplicates_equal_brute_force(spark):
     rows.append((901, None, "long text " * 30_000 + "end of it"))
     got = {tuple(x) for x in near_duplicates.item_pairs(items(spark, *rows, *rows[:20])).collect()}
     assert got == brute(rows, 0.7, 3)
-    classes = {x.item_id: x for x in near_duplicates.item_classes(items(spark, *rows)).collect()}
-    assert classes[3].class_id == classes[4].class_id == 3 and classes[900].class_id == 900
+    groups = {x.item_id: x for x in near_duplicates.item_groups(items(spark, *rows)).collect()}
+    assert groups[3].class_id == groups[4].class_id == 3 and groups[900].group_id == 900
+    least = {i: i for i in groups}
+    for _ in rows:  # brute force over the pairs
+        for a, b in got:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {i: g.group_id for i, g in groups.items() if i not in (3, 4)} == {i: x for i, x in least.items() if i not in (3, 4)}
+    assert all(g.members == sum(h.group_id == g.group_id for h in groups.values()) for g in groups.values())
+
+
+def test_pairs_of_a_hot_class(spark):
+    df = spark.createDataFrame([(i, "hot" if i < 60 else None if i % 2 else f"k{i // 4}", i) for i in range(100)] + [(0, "hot", 7)], "id long, k string, part int")
+    want = {(i, j) for i in range(100) for j in range(i + 1, 100) if j < 60 or (i >= 60 and i % 2 == j % 2 == 0 and i // 4 == j // 4)}
+    for group in (7, 2000):
+        got = [tuple(r) for r in pairs_within(df, ["k"], "id", group).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_near_duplicates_of_nothing(spark):

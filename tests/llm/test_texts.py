@@ -39,6 +39,36 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated(pages.limit(0), docs).count() == 0
 
 
+def test_repeated_templates_equal_brute_force(spark):
+    r = random.Random(9)
+    names = ["ann", "bo", "cy", "dee", "eve", "flo", "gus", "hal"]
+    docs = [(d, "agenda" if d % 3 else "minutes", "x") for d in range(30)]
+    line = lambda: r.choice(["the motion of {n} was carried without a word", "please see the notice of the board outside", "{n} and {n} spoke of the {n} plan today", "item {k} was heard by the whole board"]).format(n=r.choice(names), k=r.randint(1, 3))
+    pages = [(d * 10 + k, d, "\n".join(line() for _ in range(r.randint(1, 4)))) for d, _, _ in docs for k in range(2)]
+    kind = {d: k for d, k, _ in docs}
+    rows = [(kind[d], d, p, i, tuple(x.split())) for p, d, c in pages for i, x in enumerate(c.split("\n"))]
+    total = {k: sum(v == k for v in kind.values()) for k in set(kind.values())}
+
+    def often(items):
+        held = {}
+        for k, d, x in items:
+            held.setdefault((k, x), set()).add(d)
+        return {x for x, ds in held.items() if len(ds) >= 3 and len(ds) >= 0.3 * total[x[0]]}
+
+    leaf = lambda w: (len(w), tuple("*" if any(c.isdigit() for c in x) else x for x in w[:4]))
+    letters = lambda w: sum(x.isalpha() for x in w) >= 5
+    rows = [x for x in rows if letters(x[4])]
+    kept = often((k, d, (leaf(w), i, x)) for k, d, _, _, w in rows for i, x in enumerate(w))
+    made = [(k, d, p, i, " ".join(x if (k, (leaf(w), j, x)) in kept else "*" for j, x in enumerate(w))) for k, d, p, i, w in rows]
+    for slots in (0.0, 0.5):
+        some = [x for x in made if x[4].split().count("*") <= slots * len(x[4].split())]
+        covers = often((k, d, t) for k, d, _, _, t in some)
+        want = {x[:4] for x in some if (x[0], x[4]) in covers}
+        lines = repeated_lines.lines_of(spark.createDataFrame(pages, "id long, document_id long, content string"), spark.createDataFrame(docs, "id long, kind string, leaf string"))
+        got = {(x.kind, x.document_id, x.page_id, x.line_no) for x in repeated_lines.templates(*lines, share=0.3, slots=slots).collect()}
+        assert got == want and want
+
+
 FILE = os.environ.get("MINUTEBOOK_TOKENIZER", byte_bpe.DEFAULT_FILE)
 needs_file = pytest.mark.skipif(not os.path.exists(FILE), reason="no tokenizer file")
 
