@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from minutebook.operators import history
 
 SCHEMA = "feed string, supervisor_id long, district string, active boolean, term_start string, snapshot_date date, captured_at timestamp, attribute_hash string, _year int"
+KEYS, AT, NAMES = ["feed", "supervisor_id"], "snapshot_date", ["district", "active", "term_start"]
 
 
 def day(n):
@@ -35,14 +36,27 @@ def test_ties_nulls_and_empty_tables(spark):
     assert found(df.withColumn("snapshot_date", F.lit(None).cast("date"))) == set()
 
 
-def test_merge_equals_full_history(spark):
+def test_merges_equal_the_full_history(spark):
+    """Deliveries in random order of dates, so that many are late or corrections, merged in 1, 2 and 5 steps."""
     import random
 
     r = random.Random(3)
-    data = rows(*[(r.choice("ab"), r.randint(1, 3), str(r.randint(1, 2)), True, None, n * 20, n) for n in range(60)])
+    data = rows(*[(r.choice("ab"), r.choice([1, 2, None]), str(r.randint(1, 2)), True, None, r.randint(0, 20) * 30, n) for n in range(90)])
     df = spark.createDataFrame(data, SCHEMA)
-    attributes = {"district": history.district_key(F.col("district")), "active": F.col("active"), "term_start": history.date_key(F.col("term_start"))}
-    keys = ["feed", "supervisor_id"]
-    first, second = df.where(F.col("snapshot_date") < day(600)), df.where(F.col("snapshot_date") >= day(600))
-    merged = history.merge(history.versions(first, keys, "snapshot_date", attributes, "captured_at"), second, keys, "snapshot_date", attributes, "captured_at")
-    assert sorted(map(str, merged.collect())) == sorted(map(str, history.supervisor_versions(df).select(*merged.columns).collect()))
+    attributes = {n: F.col(n) for n in NAMES}
+    want = sorted(map(str, history.versions(df, KEYS, AT, attributes, "captured_at").collect()))
+    assert len(want) > 20
+    for steps in (1, 3):
+        got = history.folded(df, KEYS, AT, attributes, "captured_at", steps)
+        assert sorted(map(str, got.collect())) == want
+
+
+def test_merge_in_order_closes_and_opens(spark):
+    attributes = {n: F.col(n) for n in NAMES}
+    settle = lambda *x: history.settled(spark.createDataFrame(rows(*x), SCHEMA), KEYS, AT, attributes, "captured_at")
+    known = settle(("a", 1, "4", True, None, 0, 1), ("b", 1, "9", True, None, 5, 1))
+    first = history.runs(known, KEYS, AT, NAMES)
+    same, known2 = history.merge(first, known, settle(("a", 1, "4", True, None, 10, 2)), KEYS, AT, NAMES, "captured_at")
+    assert {(x.feed, x.valid_from, x.valid_to, x.seen_to) for x in same.collect()} == {("a", day(0), None, day(10)), ("b", day(5), None, day(5))}
+    late, _ = history.merge(same, known2, settle(("a", 1, "5", True, None, 4, 3)), KEYS, AT, NAMES, "captured_at")
+    assert {(x.feed, x.district, x.valid_from, x.valid_to) for x in late.collect()} == {("a", "4", day(0), day(4)), ("a", "5", day(4), day(10)), ("a", "4", day(10), None), ("b", "9", day(5), None)}
