@@ -42,8 +42,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return scanned.paragraphs(pages, cut(scanned.faults(pages)))
+    scan = scanned.scanned(table(spark, sf_dir, "pages"))
+    return scanned.paragraphs(scan, cut(scanned.faults_of(scan)))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

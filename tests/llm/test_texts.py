@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from minutebook.llm import byte_bpe, encodings, mixing, pieces, repeated_lines, scanned
+from minutebook.session import cut
 
 
 @pytest.mark.parametrize("text", ["", "short", "word " * 3000, "x" * 9001, "🙂é" * 4100, "A sentence. " * 900, "line\n" * 2000, "第一。" * 3000])
@@ -193,10 +194,35 @@ def test_scanned_pages(spark):
     want = {(k, i, f) for k in (1, 2, 3) for i, f in ((0, "header"), (2, "glyph"), (3, "hyphen"), (7, "page_number"))} | {(2, 4, "glyph")}
     assert want <= got
     assert not [x for x in got if x[1] == 2 and x[2] == "hyphen"] and not [x for x in got if x[0] >= 10 or x[1] == 6]
-    text = {r.page_id: r.text for r in scanned.paragraphs(pages, found).collect()}
-    assert "approved the long-term lease" in text[1] and "recommended it" in text[1] and "Sheet" not in text[1] and text[11] is None
+    scan = scanned.scanned(pages)
+    text = [r.text for r in scanned.paragraphs(scan, found).where("document_id = 1").orderBy("paragraph").collect()]
+    assert sum("approved the long-term lease and recommended it to the council within days." in t for t in text) == 3
+    assert not [t for t in text if "Sheet" in t or t.startswith("-")] and text.count("482913") == 3
     empty = pages.limit(0)
-    assert scanned.faults(empty).count() == 0
+    assert scanned.faults(empty).count() == 0 and scanned.paragraphs(scanned.scanned(empty), scanned.faults(empty)).count() == 0
+
+
+def test_words_are_put_right_as_wholes():
+    B, S = scanned.STATES.index("B"), scanned.STATES.index("S")
+    fix = lambda line, was, now, fault="glyph": {"line_no": line, "fault": fault, "was": was, "now": now}
+    lines = ["We searched the arc of the area", "and the plan¬", "ninq commis-", "sion met."]
+    got = scanned.page_pieces(lines, [S, B, B, B], [fix(0, "arc", "are"), fix(1, "planninq", "planning"), fix(1, "plan-ninq", "planning", "hyphen"), fix(2, "commis-sion", "commission", "hyphen")])
+    assert got == [("We searched the are of the area and the planning commission met.", True, False)]
+    assert scanned.page_pieces(["a long-", "term lease and pre-"], [S, B], [fix(1, "pre-", "pre", "hyphen")]) == [("a long-term lease and pre", True, True)]
+    assert scanned.page_pieces(["Footer"], [scanned.STATES.index("H")], [fix(0, None, None, "header")]) == []
+
+
+def test_paragraphs_by_indent_and_over_pages(spark):
+    para = lambda k: [f"   The board met on item {k} and heard the report of the", "clerk on the matter before it, which it took up again", "after the break and passed."]
+    first = [x for k in range(6) for x in para(k)] + ["   The last item was put over to the meeting of the com-"]
+    second = ["mittee on the day after, and the clerk was told of it.", *[x for k in range(6, 9) for x in para(k)], "   Members of the public spoke on the matter of the park"]
+    third = ["and asked the board to keep it open.", *para(9)]
+    rows = [(k * 10 + i, k, i, "\n".join(t)) for k in range(1, 6) for i, t in ((1, first), (2, second), (3, third))] + [(99, 1, 9, None), (98, 6, 1, "committee of the committee")]
+    scan = scanned.scanned(spark.createDataFrame([*rows, rows[0]], "id long, document_id long, page_number int, content string"))
+    got = scanned.paragraphs(scan, cut(scanned.faults_of(scan))).where("document_id = 2").orderBy("paragraph").collect()
+    assert [r.text for r in got][:2] == [" ".join(x.strip() for x in para(k)) for k in range(2)] and [r.paragraph for r in got] == list(range(12))
+    assert (got[6].text, got[6].first_page, got[6].last_page) == ("The last item was put over to the meeting of the committee on the day after, and the clerk was told of it.", 1, 2)
+    assert got[10].text == "Members of the public spoke on the matter of the park and asked the board to keep it open." and len(got) == 12
 
 
 def test_lone_page_numbers_misread_or_roman(spark):
