@@ -124,16 +124,20 @@ PLACES = [
     ["1401 Nirksevkep Avenue", "Nirksevkep Avenue, l4Ol", "1401 Nirksevkep Ave. Unit C, Port Aldery 00102", "Port Aldery: 1401 Nirksevkep", "1401 Nirksevekp Av"],
     ["455 Kepcrolunt Road N, Unit B", "455 No. Kepcrolunt Rd", "N KEPCROLUNT ROAD, 455, TILLBROOK", "Tillbrook: 455 North Kepcrolunt Road #3"],
     ["455 South Kepcrolunt Road", "South Kepcrolunt Rd. No. 455"], ["3500 7th Street", "Seventh St., 3500", "7TH St. No. 3500"], ["3500 7th Avenue"],
-    ["12 Rasttovzig Lane"], ["12 Rasttovzig Drive"], ["1402 Nirksevkep Avenue"], ["12 Rasttovzig"],
+    ["12 Rasttovzig Lane"], ["12 Rasttovzig Drive"], ["1402 Nirksevkep Avenue"], ["12 Rasttovzig"], ["12 Rasttovzig, Overton"],
+    ["12 Old Mill Road", "12 Old Mill", "Old Mill, 12, Tillbrook", "12 Old Mill Tillbrook", "Old Mil Rd 12"],
+    ["12 Pine Street, Springfield", "12 Pine, Springfield", "Springfeild: 12 Pine", "12 Pine 00401"], ["12 Pine Avenue, Shelbyville", "12 Pine, Shelbyville"], ["14 Pine Street, Springfield 00401"],
+    ["7 Elm Street", "7 Elm St", "7 Elm St.", "7 Emm Street"], ["8 Elk Street"], ["21 Twenty First Avenue", "21 21st Ave"], ["3 A Street"], ["3 B Street"],
 ]
 
 
 def test_addresses(spark):
     flat = [(k, a) for k, a in enumerate(a for g in PLACES for a in g)]
     number = {a: k for k, a in flat}
-    df = spark.createDataFrame([(1, [k for k, _ in flat], [a for _, a in flat], "x"), (2, [], [], "x"), (3, None, None, "x"), (4, [900, None, 901], [None, "5 A St", "no number"], "x"), (1, [0], [flat[0][1]], "x")], "fact_id long, address_ids array<long>, addresses array<string>, name string")
+    df = spark.createDataFrame([(1, [k for k, _ in flat], [a for _, a in flat], "x"), (2, [], [], "x"), (3, None, None, "x"), (4, [900, None, 901], [None, "5 A St", "Old Mill Road"], "x"), (1, [0], [flat[0][1]], "x")], "fact_id long, address_ids array<long>, addresses array<string>, name string")
     got = {tuple(r) for r in addresses.same_building(addresses.records(df)).collect()}
     assert got == {tuple(sorted((number[x], number[y]))) for g in PLACES for x, y in itertools.combinations(g, 2)}
-    open_ = {r.address_id: r.candidates for r in addresses.resolved(addresses.records(df)).collect()}
-    assert open_[number["12 Rasttovzig"]] == 2
+    levels = {r.address_id: r for r in addresses.resolved(addresses.records(df)).collect()}
+    assert levels[number["12 Rasttovzig"]].candidates == ["rasttovzig drive", "rasttovzig lane"] and levels[number["12 Rasttovzig"]].level == "locality"
+    assert levels[901].level == "street" and levels[number["455 No. Kepcrolunt Rd"]].level == "number" and levels[number["Springfeild: 12 Pine"]].town == "springfield"
     assert addresses.same_building(addresses.records(df.limit(0))).count() == 0
