@@ -230,9 +230,9 @@ class Scan:
 
 
 def scanned(pages: DataFrame) -> Scan:
-    """A page that arrives twice counts once; null and empty pages hold no lines."""
+    """Null and empty pages hold no lines."""
     number = F.col("page_number") if "page_number" in pages.columns else F.col("id")
-    some = pages.where(F.col("content").isNotNull() & (F.col("content") != "")).select(F.col("id").alias("page_id"), "document_id", number.cast("int").alias("page_number"), "content").distinct()
+    some = pages.where(F.col("content").isNotNull() & (F.col("content") != "")).select(F.col("id").alias("page_id"), "document_id", number.cast("int").alias("page_number"), "content")
     schema = "page_id long, document_id long, page_number int, content string, forms binary, cues binary, rules binary"
     lines = cut(some.mapInArrow(_featured, schema))
     return Scan(lines, fit_lines(lines))
@@ -536,7 +536,7 @@ def paragraphs(scan: Scan, found: DataFrame) -> DataFrame:
     many pages has only these in one window."""
     own = found.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "fault", "was", "now")).alias("found"))
     joined = scan.lines.drop("rules").join(own, "page_id", "left").select("page_id", "document_id", "page_number", "content", "forms", "cues", "found")
-    pieces = cut(joined.mapInArrow(_pieces(scan.model), "document_id long, page_number int, page_id long, piece int, text string, begins boolean, open boolean, started int"))
+    pieces = cut(joined.mapInArrow(_pieces(scan.model), "document_id long, page_number int, page_id long, piece int, text string, begins boolean, open boolean, started int").distinct())
     page = ["document_id", "page_number", "page_id"]
     flags = pieces.groupBy(*page).agg(F.min_by("begins", "piece").alias("begins"), F.max_by("open", "piece").alias("open"), F.max("started").alias("started"))
     order = Window.partitionBy("document_id").orderBy("page_number", "page_id")

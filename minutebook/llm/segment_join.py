@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,11 +40,28 @@ def within(a: str, b: str, k: int) -> bool:
     return row.get(m, far) <= k
 
 
+def typing_slip(a: str, b: str) -> bool:
+    """Whether two strings within two edits differ as hands slip: one of the edits doubles a letter or drops one of a
+    double, or exchanges neighbours."""
+    single = [re.sub(r"(.)\1+", r"\1", x) for x in (a, b)]
+    if a != b and (single[0] == single[1] or single != [a, b] and within(*single, 1) and not within(a, b, 1)):
+        return True
+    if sorted(a) == sorted(b) and a != b:
+        return True
+    for i in range(min(len(a), len(b)) - 1):  # an exchange and one edit more
+        if a[i] != b[i] or (a[i] == b[i] and a[i + 1] != b[i + 1]):
+            for k in (i, i + 1):
+                if k + 1 < len(a) and a[k] != a[k + 1] and within(a[:k] + a[k + 1] + a[k] + a[k + 2 :], b, 1) and not within(a, b, 1):
+                    return True
+            break
+    return False
+
+
 def _verify(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [within(a, b, k) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b", "x", "y"])
 
     return run
 
@@ -55,8 +73,8 @@ def _bounds(size: Column, i: int, parts: int) -> tuple[Column, Column]:
 
 
 def near(df: DataFrame, key: str, block: list[str], value: str, k: int = 1, shortest: int = 4) -> DataFrame:
-    """Pairs (a, b) of keys, a < b, whose values differ by 1 to k edits (also exchanges of neighbours) and whose block
-    columns are equal.
+    """Pairs (a, b, x, y) of keys, a < b, with their values, which differ by 1 to k edits (also exchanges of neighbours)
+    and whose block columns are equal.
 
     k edits touch at most 2k segments, an exchange two. So each value is cut into 2k + 1 segments, of which one is
     whole in any value within k edits, shifted by k at most: an inverted index on (block, size, number, segment) is
@@ -81,7 +99,7 @@ def near(df: DataFrame, key: str, block: list[str], value: str, k: int = 1, shor
     met = left.join(right, "h").where((F.length("v") < F.length("v2")) | ((F.length("v") == F.length("v2")) & (F.col("k") < F.col("k2"))))
     met = met.where(F.col("v") != F.col("v2")).select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), F.when(F.col("k") < F.col("k2"), F.col("v")).otherwise(F.col("v2")).alias("x"), F.when(F.col("k") < F.col("k2"), F.col("v2")).otherwise(F.col("v")).alias("y")).distinct()
     kind = df.schema[key].dataType.simpleString()
-    return met.mapInArrow(_verify(k), f"a {kind}, b {kind}")
+    return met.mapInArrow(_verify(k), f"a {kind}, b {kind}, x string, y string")
 
 
 def pairs_within(df: DataFrame, keys: list[str], name: str, group: int = 2000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from minutebook.functions.fuzzy import osa
 from minutebook.llm import addresses, names, near_duplicates
-from minutebook.llm.segment_join import components, near, pairs_within, within
+from minutebook.llm.segment_join import components, near, pairs_within, typing_slip, within
 
 ITEM = "id long, title string, content string, rep string, band int"
 
@@ -83,7 +83,7 @@ def test_segment_join_equals_brute_force(spark):
     df = spark.createDataFrame([(f"k{i}", v, i % 2) for i, v in enumerate(values)] + [("kn", None, 0), (None, "abab", 0)], "key string, v string, block int")
     for k in (1, 2):
         want = {tuple(sorted((f"k{i}", f"k{j}"))) for (i, x), (j, y) in itertools.combinations(enumerate(values), 2) if i % 2 == j % 2 and within(x, y, k)}
-        assert {(a, b) for a, b in near(df, "key", ["block"], "v", k).collect()} == want
+        assert {(a, b) for a, b, _, _ in near(df, "key", ["block"], "v", k).collect()} == want
 
 
 def test_components(spark):
@@ -101,6 +101,10 @@ SAME = [
     ["Druquo Tenants Association", "The Druquo Tenants Association", "Druquo Tenants Assn.", "Tenants Association (Druquo)", "Durquo Assn. of Tenants"],
     ["Druquo Community Development Corporation", "Druquo CDC"],
     ["Ivan Hobtamulm", "Hobtamulm Ivan", "Ivan Hobtamulm (owner)"], ["Ivan Pemtovcro"], ["Peñarosa", "Prñarosa", "Penarosa"],
+    ["Marcus Hollingsworth", "Marcus Holingswroth", "Marcuss Hollingswroth"], ["Alexander Stone", "Alex Stone"], ["Sebastian Marlow", "Seb Marlow", "Marlow, Sebastian"],
+    ["Ana Wong", "Ana Wnog"], ["Ana Lee", "Ana Leee"], ["Ana Leo"], ["Priya Tolverand"], ["Priya Tolvimond"], ["Maria Ostrander"], ["Mark Ostrander"],
+    ["St. Luke's Hospital", "Hospital St Luke"], ["Bayview Bakery Cooperative", "Cooperative Bayview Bakery", "Bayveiw Bakery Coop"],
+    ["Quellan Workers Union Local 12", "Quellan Wkrs Union, Loc. 12"], ["Quellan Workers Union Local 21"], ["Quellan Library Foundation"],
 ]
 
 
@@ -117,7 +121,21 @@ def test_names(spark):
 def test_typed_names_of_tables(spark):
     calls = spark.createDataFrame([(["A B", "A B"], [None, "C"]), ([], None)], "ayes array<string>, noes array<string>")
     speakers = spark.createDataFrame([("D",), (None,), ("A B",)], "speaker string")
-    assert {r.name for r in names.typed_names(calls, speakers).collect()} == {"A B", "C", "D"}
+    assert {tuple(r) for r in names.typed_names(calls, speakers).collect()} == {("A B", 3), ("C", 1), ("D", 1)}
+
+
+def test_short_forms_from_the_names_themselves(spark):
+    people = [(f"{g} {f}",) for f in ("Arbuth", "Bellow", "Corvan", "Dunmar") for g in ("Horatio", "Tio")] + [(f"{g} Smith",) for g in ("Horatio", "Ada", "Bo", "Cy")]
+    df = spark.createDataFrame(people, "name string")
+    got = {tuple(r) for r in names.spelling_pairs(df).collect()}
+    assert got == {(f"Horatio {f}", f"Tio {f}") for f in ("Arbuth", "Bellow", "Corvan", "Dunmar")}
+
+
+def test_slips_and_abbreviations():
+    assert all(typing_slip(a, b) for a, b in (("hollingsworth", "holingswroth"), ("lee", "leee"), ("wong", "wnog"), ("abcdefghij", "abdcefghi")))
+    assert not any(typing_slip(a, b) for a, b in (("tolverand", "tolvimond"), ("leo", "lee"), ("siltrastpul", "siltrastpem")))
+    assert all(names._abbreviates(a, b) for a, b in (("assn", "association"), ("nhood", "neighborhood"), ("co", "company"), ("dev", "development")))
+    assert not any(names._abbreviates(a, b) for a, b in (("an", "andrews"), ("bay", "bayu"), ("council", "council"), ("tow", "workers")))
 
 
 PLACES = [
