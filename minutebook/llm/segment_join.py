@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minutebook.session import cut
+from minutebook.session import cut, free
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -66,10 +66,12 @@ def _verify(k: int):
     return run
 
 
-def _bounds(size: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of a string of this size; the segments differ by one at most."""
+def _segment(value: Column, size: Column, i: Column, parts: int, shift: Column | int = 0) -> Column:
+    """Segment i of `parts` of a string of this size, which differ by one in length at most, read at a shift from
+    value; null where it is empty or begins outside."""
     lo, hi = F.floor(size * i / parts).cast("int"), F.floor(size * (i + 1) / parts).cast("int")
-    return lo + 1, hi - lo
+    at = lo + 1 + shift
+    return F.when((at >= 1) & (hi > lo), F.substring(value, at, hi - lo))
 
 
 def near(df: DataFrame, key: str, block: list[str], value: str, k: int = 1, shortest: int = 4) -> DataFrame:
@@ -83,19 +85,14 @@ def near(df: DataFrame, key: str, block: list[str], value: str, k: int = 1, shor
     """
     parts = 2 * k + 1
     t = df.where(F.col(value).isNotNull() & F.col(key).isNotNull() & (F.length(value) >= shortest)).select(F.col(key).alias("k"), F.col(value).alias("v"), *block)
-    size = F.length("v")
-    hashed = lambda length, i, part: F.xxhash64(*block, length, F.lit(i), part)
-    index, probe = [], []
-    for i in range(parts):
-        at, n = _bounds(size, i, parts)
-        index.append(hashed(size, i, F.substring(F.col("v"), at, n)))
-        for less in range(k + 1):
-            at, n = _bounds(size - less, i, parts)
-            for shift in range(-k, k + 1):
-                part = F.substring(F.col("v"), at + shift, n)
-                probe.append(F.when((at + shift >= 1) & (n > 0), hashed(size - less, i, part)))
-    left = t.select("k", "v", F.explode(F.array_distinct(F.array(*index))).alias("h"))
-    right = t.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.explode(F.array_compact(F.array_distinct(F.array(*probe)))).alias("h"))
+    size, v = F.length("v"), F.col("v")
+    hashed = lambda length, i, part: F.when(part.isNotNull(), F.xxhash64(*block, length, i, part))
+    span = lambda a, b: F.sequence(F.lit(a), F.lit(b))
+    # lambdas over numbers keep the plan small whatever k is
+    index = F.transform(span(0, parts - 1), lambda i: F.xxhash64(*block, size, i, F.coalesce(_segment(v, size, i, parts), F.lit(""))))
+    probes = F.transform(span(0, k), lambda less: F.transform(span(0, parts - 1), lambda i: F.transform(span(-k, k), lambda shift: hashed(size - less, i, _segment(v, size - less, i, parts, shift)))))
+    left = t.select("k", "v", F.explode(F.array_distinct(index)).alias("h"))
+    right = t.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.explode(F.array_compact(F.array_distinct(F.flatten(F.flatten(probes))))).alias("h"))
     met = left.join(right, "h").where((F.length("v") < F.length("v2")) | ((F.length("v") == F.length("v2")) & (F.col("k") < F.col("k2"))))
     met = met.where(F.col("v") != F.col("v2")).select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), F.when(F.col("k") < F.col("k2"), F.col("v")).otherwise(F.col("v2")).alias("x"), F.when(F.col("k") < F.col("k2"), F.col("v2")).otherwise(F.col("v")).alias("y")).distinct()
     kind = df.schema[key].dataType.simpleString()
@@ -133,6 +130,7 @@ def components(links: DataFrame) -> DataFrame:
         small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         new = cut(small.where(F.col("u") != F.col("v")).distinct())
         now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        free(edges)
         edges = new
         if now == was:
             break
