@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 
 from minutebook.functions import extract, fulltext, fuzzy, text, vectors
 from minutebook.functions.intent import interpret
-from minutebook.operators import feed, parsers, search, versions, votes
-from minutebook.session import table
+from minutebook.operators import evidence, feed, parsers, postings, search, versions, votes
+from minutebook.session import cut, stored, table
 from minutebook.sources import records
 
 QUERIES, ORACLE = {}, {}
@@ -82,19 +82,67 @@ s as (
 select item_id, document_id, meeting_date, file_number, score, group_count, total, row_number() over (order by score desc, meeting_date desc, item_id) as rank from s qualify rank <= 20"""
 
 
+def _search_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf, "legislative_items"), table(spark, sf, "meeting_documents"), table(spark, sf, "roll_calls")
+
+
+_FOUND = ("item_id", "document_id", "meeting_date", "file_number", "score", "group_count", "total", "rank")
+_PLAIN_MODE = {"expand": False, "stems": False, "nearby": False}
+
+
 @query(ITEM_SEARCH_SQL)
 def s02_item_search(spark: SparkSession, sf: str) -> DataFrame:
-    o = search.Options("overtime costs", from_year=2000, group="file", expand=False, stems=False)
-    found = search.items(_items(spark, sf), _documents(spark, sf), _calls(spark, sf), o)
-    return found.select("item_id", "document_id", "meeting_date", "file_number", "score", "group_count", "total", "rank")
+    o = search.Options("overtime costs", from_year=2000, group="file", **_PLAIN_MODE)
+    return search.items(*_search_tables(spark, sf), o).select(*_FOUND)
 
 
 @query()
 def s02_item_search_stemmed(spark: SparkSession, sf: str) -> DataFrame:
     """Other forms of the words match too."""
     o = search.Options("library hearing", from_year=2000, group="file", expand=False)
-    found = search.items(_items(spark, sf), _documents(spark, sf), _calls(spark, sf), o)
-    return found.select("item_id", "document_id", "meeting_date", "file_number", "score", "group_count", "total", "rank")
+    return search.items(*_search_tables(spark, sf), o).select(*_FOUND)
+
+
+@query(f"""
+with i as (select *, {_A("coalesce(title, '') || ' ' || coalesce(content, '')")} as t from {I})
+select id as item_id from i where contains(t, ' shoreline ') and contains(t, ' 960001 ') or file_number = '960001'""")
+def s02_item_search_number(spark: SparkSession, sf: str) -> DataFrame:
+    """A number of six digits finds its file whatever the other words."""
+    i, d, r = _search_tables(spark, sf)
+    o = search.Options("shoreline 960001", limit=50, **_PLAIN_MODE)
+    found = search.items(i, d, r, o)
+    every = postings.search(cut(postings.postings(i.select("id", F.concat_ws(" ", "title", "content").alias("t")), "id", {"t": 1.0})), o.query)
+    mine = i.where(F.col("file_number") == "960001").select(F.col("id").alias("item_id")).union(every.select("key")).distinct()
+    return mine.join(found.agg(F.max("total").alias("total")), F.col("total") > 0).select("item_id")
+
+
+@query(f"""
+with i as (select *, {_A("coalesce(title, '') || ' ' || coalesce(content, '')")} as t from {I})
+select i.id as item_id from i join {D} d on d.id = i.document_id where (contains(t, ' construction ') and contains(t, ' agreement ') and contains(t, ' dormitory ') or contains(t, ' construction ') and contains(t, ' contracts ') and contains(t, ' dormitory ')) and d.year between 1996 and 2026""")
+def s02_item_search_expanded(spark: SparkSession, sf: str) -> DataFrame:
+    """The query and its other ways to put it, over the index."""
+    i, d, _ = _search_tables(spark, sf)
+    o = search.Options("construction contracts dormitory", stems=False)
+    index = cut(postings.postings(i.select("id", F.concat_ws(" ", "title", "content").alias("t")), "id", {"t": 1.0}))
+    found = postings.search(index, *o.queries).select(F.col("key").alias("id"))
+    dated = d.where(F.col("year").between(1996, 2026)).select(F.col("id").alias("document_id")).distinct()
+    return i.select("id", "document_id").distinct().join(found, "id").join(dated, "document_id", "left_semi").select(F.col("id").alias("item_id"))
+
+
+@query(ITEM_SEARCH_SQL.replace("select item_id, document_id", "select 'overtime costs' as correction, item_id, document_id"))
+def s02_item_search_misspelled(spark: SparkSession, sf: str) -> DataFrame:
+    """A query that finds nothing is put right by the words of the titles."""
+    o = search.Options("overtmie cossts", from_year=2000, group="file", **_PLAIN_MODE)
+    return search.items_or_respelled(*_search_tables(spark, sf), o).select("correction", *_FOUND)
+
+
+@query(f"""
+with p as (select *, {_A("content")} as t from {P} where content is not null)
+select id as page_id from p where contains(t, ' boulevard budget ') and not contains(t, ' hospital ') or contains(t, ' graffiti abatement ')""")
+def s01_page_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases, alternatives and exclusions from postings."""
+    index = cut(postings.postings(table(spark, sf, "pages"), "id", {"content": 0.1}))
+    return postings.search(index, '"boulevard budget" -hospital OR "graffiti abatement"').select(F.col("key").alias("page_id"))
 
 
 @query(f"""
@@ -102,15 +150,15 @@ with v as (select distinct item_id from {C} where is_final and len(list_filter(a
 f as (select i.id, d.meeting_date, i.ordinal from {I} i join {D} d on d.id = i.document_id where contains({_A("coalesce(i.title, '') || ' ' || coalesce(i.content, '')")}, ' library ') and i.id in (select item_id from v))
 select id as item_id, cast(1 as bigint) as group_count, count(*) over () as total from f""")
 def s02_item_search_by_voter(spark: SparkSession, sf: str) -> DataFrame:
-    o = search.Options("library", voter="Nunarte", position="aye", final=True, limit=50, expand=False, stems=False)
-    return search.items(_items(spark, sf), _documents(spark, sf), _calls(spark, sf), o).select("item_id", "group_count", "total")
+    o = search.Options("library", voter="Nunarte", position="aye", final=True, limit=50, **_PLAIN_MODE)
+    return search.items(*_search_tables(spark, sf), o).select("item_id", "group_count", "total")
 
 
 @query()
 def s02_item_search_cover(spark: SparkSession, sf: str) -> DataFrame:
     """With cover density and snippets on the top rows."""
     o = search.Options('"night lighting" OR "tenant relocation" -parking', limit=20)
-    found = search.items(_items(spark, sf), _documents(spark, sf), _calls(spark, sf), o, rank="cover")
+    found = search.items(*_search_tables(spark, sf), o, rank="cover")
     cut = fulltext.headline(fulltext.wanted(*o.queries, stems=True), 80, 30, 2, stems=True)
     return found.select("item_id", "title", "score", "rank", cut(F.col("content")).alias("snippet"))
 
@@ -127,7 +175,7 @@ n as (
 select r.page_id, r.document_id, r.page_number, r.meeting_date, r.score, n.item_id, r.rank from r left join n on n.page_id = r.page_id and n.k = 1""")
 def s01_page_search(spark: SparkSession, sf: str) -> DataFrame:
     o = search.Options('"boulevard budget" -hospital', expand=False, stems=False)
-    found = search.pages(once(spark, sf, "pages"), _documents(spark, sf), _items(spark, sf), o)
+    found = search.pages(table(spark, sf, "pages"), table(spark, sf, "meeting_documents"), table(spark, sf, "legislative_items"), o)
     return found.select("page_id", "document_id", "page_number", "meeting_date", "score", "item_id", "rank")
 
 
@@ -139,28 +187,46 @@ with f as (
 select comment_id, document_id, meeting_date, score, row_number() over (order by score desc, meeting_date desc, ordinal, comment_id) as rank from f qualify rank <= 20""")
 def s03_comment_search(spark: SparkSession, sf: str) -> DataFrame:
     o = search.Options("hydrant OR kitchen", speaker="A", expand=False, stems=False)
-    return search.comments(once(spark, sf, "public_comments"), _documents(spark, sf), o).select("comment_id", "document_id", "meeting_date", "score", "rank")
+    return search.comments(table(spark, sf, "public_comments"), table(spark, sf, "meeting_documents"), o).select("comment_id", "document_id", "meeting_date", "score", "rank")
+
+
+def _entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The entities of all items, extracted once for all queries of a session."""
+    return stored(spark, f"entities {sf}", lambda: extract.entities(once(spark, sf, "legislative_items", "title", "content")))
+
+
+def _item_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(key, v): the vectors of all items, computed once for all queries of a session."""
+    whole = F.concat_ws(" ", "title", "content")
+    rows = lambda: once(spark, sf, "legislative_items", "title", "content").select(F.concat(F.lit("item:"), F.col("id").cast("string")).alias("key"), vectors.hash_embedder()(whole).alias("v"))
+    return stored(spark, f"item vectors {sf}", rows)
 
 
 @query()
 def s04_entity_match(spark: SparkSession, sf: str) -> DataFrame:
-    items = _items(spark, sf)
-    return search.entity_matches(extract.entities(items), items, "Ziggimpock Foundation", 24)
+    return search.entity_matches(_entities(spark, sf), table(spark, sf, "legislative_items").select("id", "file_number").distinct(), "Ziggimpock Foundation", 24)
 
 
 @query()
 def s05_unified_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Items, pages and comments with entities and vectors, fused by rank; the vectors of all items are ranked."""
+    """Items, pages and comments with entities and vectors, fused by rank; the vectors of all items are ranked, and rows
+    that only they find show their item."""
     intent = interpret("What about tenant relocation in 2015?", [])
     n = search.budget(20)
     o = search.Options(intent.query, from_year=intent.from_year, to_year=intent.to_year, limit=n)
-    items, documents = _items(spark, sf), _documents(spark, sf)
-    found = search.items(items, documents, _calls(spark, sf), o)
-    embed = vectors.hash_embedder()
-    here = items.select(F.concat(F.lit("item:"), F.col("id").cast("string")).alias("key"), embed(F.concat_ws(" ", "title", "content")).alias("v"))
-    wanted = embed.func(pd.Series([intent.query]))[0]
-    semantic = vectors.nearest(here, "key", "v", list(wanted), n).withColumnRenamed("score", "cosine")
-    return search.unified(found, search.comments(once(spark, sf, "public_comments"), documents, o), search.pages(once(spark, sf, "pages"), documents, items, o), search.entity_matches(extract.entities(items), items, intent.query, n), semantic, 20)
+    items, documents, calls = _search_tables(spark, sf)
+    wanted = vectors.hash_embedder().func(pd.Series([intent.query]))[0]
+    dated = documents.where(F.col("year").between(o.from_year, o.to_year)).select(F.col("id").alias("document_id"))
+    within = items.join(dated, "document_id", "left_semi").select(F.concat(F.lit("item:"), F.col("id").cast("string")).alias("key"))
+    semantic = vectors.nearest(_item_vectors(spark, sf).join(within, "key", "left_semi"), "key", "v", list(wanted), n).withColumnRenamed("score", "cosine")
+    entities = search.entity_matches(_entities(spark, sf), items.select("id", "file_number").distinct(), intent.query, n)
+    fused = search.unified(search.items(items, documents, calls, o), search.comments(table(spark, sf, "public_comments"), documents, o), search.pages(table(spark, sf, "pages"), documents, items, o), entities, semantic, 20)
+    return search.hydrated(cut(fused), items, documents, o)
+
+
+@query()
+def ag18_facets(spark: SparkSession, sf: str) -> DataFrame:
+    return search.facets(s05_unified_search(spark, sf))
 
 
 @query("""select id as comment_id, cast(contains(lower(content), 'tree') as int) + cast(contains(lower(content), 'budget') as int) as hits from (select distinct * from public_comments) where contains(lower(content), 'tree') or contains(lower(content), 'budget')""")
@@ -314,35 +380,11 @@ def v01_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.nearest(e, "vec_id", "embedding", list(q), 20).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("""
-with q as (select cast(embedding as double[]) as q from embeddings where vec_id = 1), e as (select vec_id, cast(embedding as double[]) as v, 1.0 / (1 + vec_id % 17) as lexical from embeddings where vec_id % 3 <> 0),
-s as (select vec_id, lexical, case when vec_id % 4 = 0 then null else list_cosine_similarity(v, q) end as c from e, q)
-select vec_id, round(0.65 * lexical / (select max(lexical) from s) + 0.35 * coalesce((c + 1) / 2, 0), 6) as score from s""")
-def v02_hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    q = F.array(*[F.lit(float(x)) for x in e.where("vec_id = 1").select("embedding").first()[0]])
-    rows = e.where("vec_id % 3 <> 0").select("vec_id", (1.0 / (1 + F.col("vec_id") % 17)).alias("lexical"), F.when(F.col("vec_id") % 4 != 0, vectors.cosine(F.col("embedding"), q)).alias("cosine"))
-    return vectors.hybrid(rows).select("vec_id", F.round("score", 6).alias("score"))
-
-
-@query("""
-with l as (select vec_id as key, label % 3 + 1 as list_no, vec_id % 23 as score from embeddings where vec_id < 60), s as (select vec_id as key, round(embedding[1], 6) as cosine from embeddings where vec_id between 40 and 90),
-a as (select *, 1.0 / (60 + row_number() over (order by list_no, score desc, key)) + case when list_no = 1 then 0.008 else 0 end as f from l),
-b as (select key, 0.8 / (60 + row_number() over (order by cosine desc, key)) as g from s)
-select coalesce(a.key, b.key) as key, round(coalesce(f, 0.008) + coalesce(g, 0), 9) as fusion from a full join b on a.key = b.key order by coalesce(f, 0.008) + coalesce(g, 0) desc, 1 limit 20""")
-def v06_rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    lex = e.where("vec_id < 60").select(F.col("vec_id").alias("key"), (F.col("label") % 3 + 1).alias("list_no"), (F.col("vec_id") % 23).alias("score"))
-    sem = e.where("vec_id between 40 and 90").select(F.col("vec_id").alias("key"), F.round(F.col("embedding")[0].cast("double"), 6).alias("cosine"))
-    return vectors.fuse(lex, sem, F.col("list_no") == 1, 20).select("key", F.round("fusion", 9).alias("fusion"))
-
-
 @query("""
 with q as (select cast(embedding as double[]) as q from embeddings where vec_id = 1), e as (select vec_id, cast(embedding as double[]) as v, 1.0 / (1 + vec_id % 17) as lexical from embeddings),
 s as (select vec_id, lexical, case when vec_id % 4 = 0 then null else list_cosine_similarity(v, q) end as c from e, q)
 select vec_id, round(0.65 * lexical / (select max(lexical) from s) + 0.35 * coalesce((c + 1) / 2, 0), 6) as score from s""")
-def v02_hybrid_rerank_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """v02_hybrid_rerank over all rows."""
+def v02_hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     q = F.array(*[F.lit(float(x)) for x in e.where("vec_id = 1").select("embedding").first()[0]])
     rows = e.select("vec_id", (1.0 / (1 + F.col("vec_id") % 17)).alias("lexical"), F.when(F.col("vec_id") % 4 != 0, vectors.cosine(F.col("embedding"), q)).alias("cosine"))
@@ -356,8 +398,8 @@ s as (select vec_id as key, round(list_cosine_similarity(cast(embedding as doubl
 a as (select *, 1.0 / (60 + row_number() over (order by list_no, score desc, key)) + case when list_no = 1 then 0.008 else 0 end as f from l),
 b as (select key, 0.8 / (60 + row_number() over (order by cosine desc, key)) as g from s)
 select coalesce(a.key, b.key) as key, round(coalesce(f, 0.008) + coalesce(g, 0), 9) as fusion from a full join b on a.key = b.key order by coalesce(f, 0.008) + coalesce(g, 0) desc, 1 limit 20""")
-def v06_rank_fusion_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """v06_rank_fusion of the best rows of all: both candidate lists are top rows over the whole table."""
+def v06_rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Both candidate lists are top rows over the whole table."""
     e = table(spark, sf, "embeddings")
     n = search.budget(25)
     q = F.array(*[F.lit(float(x)) for x in e.where("vec_id = 1").select("embedding").first()[0]])
@@ -449,32 +491,87 @@ def d09_reconciled(spark: SparkSession, sf: str) -> DataFrame:
     return _reconciled(spark, sf).select("roll_call_id", "position", "recorded_name", "supervisor_id", "confidence")
 
 
-@query(_RECONCILED + """
-, v as (select * from r where supervisor_id = 12 and is_final qualify row_number() over (partition by coalesce(file_number, '#' || cast(roll_call_id as varchar)) order by meeting_date desc, sequence desc, roll_call_id desc) = 1)
-select file_number, roll_call_id, meeting_date, position, count(*) over () as total from v""")
+_MEMBER_VOTES = _RECONCILED + """
+, v as (select * from r where supervisor_id = 12 and is_final and year(meeting_date) between 1996 and 2100 qualify row_number() over (partition by coalesce(file_number, '#' || cast(roll_call_id as varchar) || ' ' || position) order by meeting_date desc, sequence desc, roll_call_id desc) = 1)
+, w as (select *, count(*) over () as total, row_number() over (order by meeting_date desc, file_number desc nulls last, roll_call_id desc) as rank from v)"""
+
+
+def _member(spark: SparkSession, sf: str) -> DataFrame:
+    i, d, r = _search_tables(spark, sf)
+    return evidence.member_votes(r.dropDuplicates(["id"]), i, d, table(spark, sf, "supervisors"), "Anthony Hargreen")
+
+
+@query(_MEMBER_VOTES + " select file_number, roll_call_id, meeting_date, position, total, rank from w where rank <= 100")
 def a01_vote_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    """A member's newest final vote for each file, with the number of files."""
-    who = votes.resolve(table(spark, sf, "supervisors"), "Anthony Hargreen")
-    own = _reconciled(spark, sf).where("is_final").join(who.select("supervisor_id"), "supervisor_id", "left_semi")
-    last = votes.latest_votes(own, F.coalesce("file_number", F.concat(F.lit("#"), F.col("roll_call_id").cast("string"))))
-    return last.crossJoin(F.broadcast(last.agg(F.count("*").alias("total")))).select("file_number", "roll_call_id", "meeting_date", "position", "total")
+    """A member's newest final vote for each file, the newest hundred, with the number of files."""
+    return evidence.vote_aggregate(_member(spark, sf), final=True).select("file_number", "roll_call_id", "meeting_date", "position", "total", "rank")
 
 
 @query(_RECONCILED + """
-select count(*) filter (where position = 'aye') as aye, count(*) filter (where position = 'no') as no, count(*) filter (where position = 'absent') as absent, count(*) filter (where position = 'excused') as excused from r where supervisor_id = 12""")
+, v as (select * from r where supervisor_id = 12 and position = 'no' and year(meeting_date) between 2000 and 2020)
+select file_number, roll_call_id, meeting_date, count(*) over () as total, row_number() over (order by meeting_date desc, file_number desc nulls last, roll_call_id desc) as rank from v qualify rank <= 20""")
+def a01_votes_single(spark: SparkSession, sf: str) -> DataFrame:
+    """A member's noes of some years, each roll call by itself, the newest twenty."""
+    return evidence.vote_aggregate(_member(spark, sf), 2000, 2020, "no", by_file=False, limit=20).select("file_number", "roll_call_id", "meeting_date", "total", "rank")
+
+
+@query(_MEMBER_VOTES + """
+select *, (select count(*) filter (where position = 'aye') from r where supervisor_id = 12) as all_aye, (select count(*) filter (where position = 'no') from r where supervisor_id = 12) as all_no, (select count(*) filter (where position = 'absent') from r where supervisor_id = 12) as all_absent,
+  (select count(*) filter (where position = 'excused') from r where supervisor_id = 12) as all_excused
+from (select count(*) filter (where position = 'aye') as aye, count(*) filter (where position = 'no') as no, count(*) filter (where position = 'absent') as absent, count(*) filter (where position = 'excused') as excused from w where rank <= 100)""")
 def a01_vote_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return votes.histogram(_reconciled(spark, sf).where("supervisor_id = 12"))
+    """Positions over the rows returned, and over all of the member's."""
+    own = cut(_member(spark, sf))
+    return evidence.counts(evidence.vote_aggregate(own, final=True), own)
 
 
-@query(f"""
-with f as (select i.file_number, max(list_max(f.housing_units)) as most from (select distinct * from extracted_facts) f join {I} i on i.id = f.item_id where i.file_number is not null group by 1)
-select count(most) as known, count(*) - count(most) as unknown, coalesce(cast(sum(most) as bigint), 0) as units from f""")
+@query(_MEMBER_VOTES + f"""
+, f as (select item_id, flatten(list(housing_units)) as units, flatten(list(addresses)) as addresses from (select distinct * from extracted_facts) group by item_id),
+g as (select w.*, case when len(units) > 0 then list_max(units) end as most, addresses from w left join f using (item_id) where rank <= 100)
+select count(most) as known, count(*) - count(most) as unknown, cast(coalesce(sum(most), 0) as bigint) as units, coalesce((select string_agg(a, '|' order by a) from (select distinct unnest(addresses) as a from g)), '') as addresses from g""")
 def a02_housing(spark: SparkSession, sf: str) -> DataFrame:
-    """Each file's greatest unit count, known and unknown, and their sum."""
-    f = table(spark, sf, "extracted_facts").dropDuplicates(["fact_id"]).select("item_id", F.array_max("housing_units").alias("most"))
-    files = f.join(once(spark, sf, "legislative_items", "file_number").withColumnRenamed("id", "item_id"), "item_id").where("file_number is not null").groupBy("file_number").agg(F.max("most").cast("long").alias("most"))
-    rows = files.select(F.when(F.col("most").isNotNull(), F.array("most")).otherwise(F.array().cast("array<bigint>")).alias("units"), F.array().cast("array<string>").alias("addresses"))
-    return votes.housing(rows).drop("addresses")
+    """Housing over the files of the vote aggregate: known and unknown, the sum of each one's greatest, addresses."""
+    page = evidence.vote_aggregate(_member(spark, sf), final=True)
+    return evidence.housing_aggregate(page, table(spark, sf, "extracted_facts").dropDuplicates(["fact_id"])).withColumn("addresses", F.array_join("addresses", "|"))
+
+
+@query()
+def s10_evidence_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """What stands for an answer to a question about a member's votes."""
+    i, d, r = _search_tables(spark, sf)
+    supervisors = table(spark, sf, "supervisors")
+    intent = interpret("How did Hargreen vote on tenant relocation, and what was the public comment?", ["Hargreen", "Nunarte"])
+    return evidence.bundle(intent, i, table(spark, sf, "pages"), table(spark, sf, "public_comments"), d, r.dropDuplicates(["id"]), supervisors, table(spark, sf, "extracted_facts").dropDuplicates(["fact_id"]))
+
+
+@query(f"""
+with c as (select item_id, id, sequence, is_final, list_contains(list_transform(ayes, lambda x: {_K("x")}), 'hargreen') as fits from {C}),
+s as (select item_id, arg_min(id, (case when is_final and fits then 0 when is_final then 1 else 2 end, sequence, id)) as shown, count(*) as calls, count(*) filter (where fits) as own from c group by 1)
+select item_id, shown, case when own > 0 then own else least(calls, 2) end as relevant from s""")
+def s06_shown_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each item the roll call to show for a voter's ayes, and how many bear on them."""
+    calls = evidence.nested_calls(_calls(spark, sf))
+    shown = evidence.shown_call(F.col("calls"), "Hargreen", "aye")
+    return calls.select("item_id", shown["id"].alias("shown"), F.size(evidence.relevant_calls(F.col("calls"), "Hargreen", "aye")).cast("long").alias("relevant"))
+
+
+@query(f"""
+select 'page' as part, cast(id as varchar) as id, page_number as position from {P} where document_id = 12 and page_number between 1 and 3
+union all select 'item', cast(id as varchar), ordinal from {I} where document_id = 12 and end_page >= 1 and start_page <= 3 union all select 'document', '12', 0""")
+def a07_document_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """One document's first three pages with the items that meet them."""
+    i, d, r = _search_tables(spark, sf)
+    p = table(spark, sf, "pages")
+    spans = versions.evidence(once(spark, sf, "legislative_items"), once(spark, sf, "pages")).select(F.lit("item").alias("entity_type"), "entity_id", "confidence", F.lit("1").alias("parser_version"))
+    known = versions.document_hashes(p).select("document_id", F.lit(1).alias("version_number"), "content_sha256")
+    return evidence.document_evidence(12, d, p, i, r, spans, known, 1, 3).select("part", "id", "position")
+
+
+@query(_RECONCILED + f"""
+select r.roll_call_id, r.position, row_number() over (order by r.meeting_date desc, i.ordinal desc, r.sequence desc, r.roll_call_id desc, r.position) as rank from r join {I} i on i.id = r.item_id where r.supervisor_id = 12 qualify rank <= 250""")
+def a05_newest_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """A member's newest 250 recorded positions."""
+    return evidence.member_profile(_member(spark, sf), votes.aliases(table(spark, sf, "supervisors")))[1].select("roll_call_id", "position", "rank")
 
 
 @query(_RECONCILED + "select s.id as supervisor_id, s.display_name, min(meeting_date) as first_vote, max(meeting_date) as last_vote, count(r.roll_call_id) as positions from supervisors s left join r on r.supervisor_id = s.id group by all")

@@ -33,7 +33,7 @@ def test_unified_search_ranks_the_vectors_of_all_items(spark, tables):
     tables["legislative_items"] = ([item(1, "tenant relocation"), item(2, "relocation"), item(3, "harbor dredging")], ITEM)
     rows = {r.key: r for r in civic.s05_unified_search(spark, "").collect()}
     assert rows["item:1"].list_no == 1 and rows["item:1"].cosine > rows["item:2"].cosine > 0
-    assert rows["item:2"].list_no is None  # by vector alone, without all words of the question
+    assert rows["item:2"].list_no is None and rows["item:2"].result_type == "semantic" and rows["item:2"].title == "relocation"  # by vector alone, without all words of the question
 
 
 EMBEDDING = "vec_id long, embedding array<float>, label int"
@@ -43,9 +43,9 @@ def test_rank_fusion_and_rerank_take_all_vectors(spark, tables):
     # rows beyond the first 91 are nearest to the query vector and first of the lexical list
     rows = [(i, [1.0, 0.0] if i == 1 or i >= 110 else [0.0, 1.0], 0 if i in (114, 137) else 1) for i in range(140)]
     tables["embeddings"] = (rows, EMBEDDING)
-    fused = [r.key for r in civic.v06_rank_fusion_whole(spark, "").collect()]
+    fused = [r.key for r in civic.v06_rank_fusion(spark, "").collect()]
     assert fused[:2] == [114, 137] and {110, 111} <= set(fused)
-    assert {r.vec_id for r in civic.v02_hybrid_rerank_whole(spark, "").collect()} == set(range(140))
+    assert {r.vec_id for r in civic.v02_hybrid_rerank(spark, "").collect()} == set(range(140))
 
 
 def test_searches_find_other_forms_of_words(spark, tables):
