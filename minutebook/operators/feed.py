@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from minutebook.session import cut
+
 
 def page(rows: DataFrame, key: str, cursor: int = 0, limit: int = 1000, *where: Column) -> DataFrame:
     """The next rows after a cursor, by key: a filter that reaches the scan and a top-k, no offset."""
@@ -22,10 +24,12 @@ def next_cursor(rows: DataFrame, key: str, limit: int) -> int | None:
 
 def numbered(rows: DataFrame, order: list[str], after: int = 0) -> DataFrame:
     """rows with consecutive seq numbers from after + 1 on, in `order`. Rows are range-partitioned and counted a
-    partition, so no task sorts them all."""
+    partition, so no task sorts them all; the partitioned rows are written once, so the counts hold for what is read."""
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    spread = cut(spread)
     counts = spread.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("_first"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a row a partition
     return spread.join(F.broadcast(counts.select("_p", "_first", "before")), "_p").withColumn("seq", F.col("before") + F.col("_i") - F.col("_first") + 1 + after).drop("_p", "_i", "_first", "before")
 
 

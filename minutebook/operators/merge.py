@@ -1,7 +1,7 @@
 """Keyed merges without a table format: each takes the current and the incoming rows and gives the rows to keep.
 
 Incoming rows with the same key settle by `order` first, so a merge has one row a key on each side and is one full
-outer join on the key. Null keys match each other. Write the result with replace_table().
+outer join on the key. Null keys match each other. Write the result with tables.publish().
 """
 
 from __future__ import annotations
@@ -81,16 +81,3 @@ def merge_json(old: Column, new: Column) -> Column:
     parse = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
     a, b = parse(old), parse(new)
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
-
-
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Write beside the table and swap: readers see the old or the new table, never a part."""
-    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
-    rows.write.mode("overwrite").parquet(path + ".new")
-    fs = target.getFileSystem(conf)
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)

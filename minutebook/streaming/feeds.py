@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.operators import merge
+from minutebook.operators import tables
 
 
 def events(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -31,20 +31,10 @@ def sessions(rows: DataFrame, at: str, gap: str, *keys: str, late: str | None =
     return rows.groupBy(F.session_window(at, gap), *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("session_start"), *keys, "n")
 
 
-def upsert_into(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the last row of each key goes into a Parquet table; running a batch again changes nothing."""
-
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = merge.keep_last(batch, keys, order)
-        try:
-            old = spark.read.parquet(path)
-        except Exception:  # no table yet
-            merge.replace_table(new, path)
-            return
-        merge.replace_table(merge.keep_last(old.unionByName(new), keys, order), path)
-
-    return apply
+def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the last row of each key goes into a table of operators.tables; running a batch again changes
+    nothing, and only the buckets it touches are written. An error leaves the table as it was."""
+    return lambda batch, _: tables.upsert(batch, path, keys, order, buckets)
 
 
 def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:

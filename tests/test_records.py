@@ -1,6 +1,9 @@
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
-from minutebook.operators import feed, merge, parsers, render, versions
+from minutebook.operators import feed, identifiers, jobs, merge, parsers, render, tables, versions
 from minutebook.sources import records
 
 MINUTES = """230001 [Street Lighting]
@@ -101,11 +104,66 @@ def test_merges(spark):
     assert merge.upsert(old.limit(0), new, ["k"]).count() == 3 and merge.upsert(old, new.limit(0), ["k"]).count() == 3
 
 
-def test_table_swap(spark, tmp_path):
+def test_tables_have_whole_states(spark, tmp_path):
     path = str(tmp_path / "t")
-    for n in (3, 5):
-        merge.replace_table(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
+    assert tables.read(spark, path) is None
+    for n in (3, 5, 4):
+        before = tables.read(spark, path)
+        tables.publish(spark.range(n), path)
+        assert tables.read(spark, path).count() == n
+        assert before is None or before.count() > 0  # a reader of the state before still has its files
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, at int")
+    path = str(tmp_path / "u")
+    for batch in (rows((1, 1), (2, 1)), rows((2, 2), (2, 0), (3, 1)), rows((2, 2), (2, 0), (3, 1)), rows(), rows((None, 5))):
+        tables.upsert(batch, path, ["id"], ["at"], 4)
+    assert {tuple(r) for r in tables.read(spark, path).select("id", "at").collect()} == {(1, 1), (2, 2), (3, 1), (None, 5)}
+    with pytest.raises(RuntimeError):  # a state that another writer made stands
+        tables._commit(spark, path, tables._states(spark, path)[-1], {})
+
+
+JOB = "source_key string, official_url string, event_id long, kind string, meeting_date date, content_length long, etag string, last_modified timestamp, status string, attempts int, error string"
+
+
+def test_job_life(spark):
+    day = datetime.date(2020, 1, 1)
+    docs = spark.createDataFrame([(1, "u1", None, "agenda", day, datetime.datetime(2020, 1, 2), 3), (2, "x", 7, "minutes", day, datetime.datetime(2020, 1, 2), 3), (3, "u3", 8, "agenda", day, None, 0)], "id long, official_url string, event_id long, kind string, meeting_date date, indexed_at timestamp, page_count int")
+    old = spark.createDataFrame([
+        ("same", "s", 1, "agenda", day, 5, "e", None, "complete", 1, None), ("grown", "g", 1, "agenda", day, 5, "e", None, "complete", 1, None), ("unknown", "k", 1, "agenda", day, None, "e", None, "complete", 1, None),
+        ("bad", "b", 1, "agenda", day, 5, "e", None, "failed", 2, "boom"), ("gone", "n", 1, "agenda", day, 5, "e", None, "running", 1, None),
+    ], JOB)
+    found = [("same", "s", 1, 5, None), ("grown", "g", 1, 6, "e"), ("unknown", "k", 1, 9, "e"), ("bad", "b", 1, 5, "e"), ("new", "zz", 99, 1, None), ("there", "other", 7, 1, None)]
+    candidates = spark.createDataFrame([(k, u, e, "minutes" if k == "there" else "agenda", day, n, t, None) for k, u, e, n, t in found], JOB.split(", status")[0])
+    after = jobs.discovered(old, candidates, docs)
+    assert {(r.source_key, r.status, r.content_length, r.error) for r in after.collect()} == {("same", "complete", 5, None), ("grown", "pending", 6, None), ("unknown", "complete", 9, None), ("bad", "pending", 5, None), ("gone", "running", 5, None), ("new", "pending", 1, None), ("there", "complete", 1, None)}
+    keys = spark.createDataFrame([("new",), ("grown",), ("same",)], "source_key string")
+    taken = jobs.running(jobs.dispatched(after, keys), keys)
+    assert {r.source_key for r in taken.where("status = 'running'").collect()} == {"new", "grown", "gone"} and taken.where("source_key = 'new'").first().attempts == 1
+    done = jobs.finished(taken.withColumn("official_url", F.when(F.col("source_key") == "new", "u1").otherwise(F.col("official_url"))), docs)
+    assert {r.source_key: r.status for r in done.collect()}["new"] == "complete" and {r.source_key for r in jobs.failed(done).where("status = 'failed'").collect()} == {"grown", "gone"}
+    assert jobs.matched(spark.createDataFrame([("d", "none", None, "agenda", day, 1, None, None)], JOB.split(", status")[0]), docs).first().document_id == 1
+
+
+def test_runs_and_what_is_left(spark):
+    runs = spark.createDataFrame([], "id string, source string, status string, parser_version string, started_at timestamp, finished_at timestamp, statistics string, error string")
+    one = jobs.run_started(runs, "r1", "feed", "2", "2020-01-01 00:00:00")
+    two = jobs.run_finished(jobs.run_started(one, "r2", "feed", "2", "2020-01-02 00:00:00"), "r2", "2020-01-02 01:00:00", F.struct(F.lit(3).alias("pages")))
+    assert {(r.id, r.status, r.error, r.statistics) for r in two.collect()} == {("r1", "failed", "interrupted", "{}"), ("r2", "complete", None, '{"pages":3}')}
+    assert len(jobs.run_finished(one, "r1", "2020-01-01 01:00:00", error="e" * 20_000).first().error) == 10_000
+    src = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "c")], "k int, h string")
+    done = spark.createDataFrame([(1, "a"), (2, "x"), (3, None)], "k int, h string")
+    assert {r.k for r in jobs.to_do(src, done, "k").collect()} == {None} and {r.k for r in jobs.to_do(src, done, "k", "h").collect()} == {2, None} and jobs.to_do(src, done, "k", force=True).count() == 4
+    assert jobs.of_other_version(src, "h", "a").count() == 3 and jobs.preferred(done, src, ["k"]).count() == 4
+    log = spark.createDataFrame([("item", "1")], "entity_type string, entity_key string")
+    assert [tuple(r) for r in jobs.seeded(log, src.where("k < 3"), "item", "k", "h").collect()] == [("item", "2", "create", "b")]
+
+
+def test_identifiers_and_parents(spark):
+    d = spark.createDataFrame([(1, 7, "g", "u1", "agenda", datetime.date(2020, 1, 1)), (2, 7, None, "u2", "minutes", datetime.date(2020, 1, 3)), (3, None, None, "u3", "agenda", None)], "id long, event_id long, event_guid string, official_url string, kind string, meeting_date date")
+    assert {tuple(r) for r in identifiers.identifiers(d.union(d)).collect()} == {(1, "event-id", "7"), (2, "event-id", "7"), (1, "event-guid", "g"), (1, "official-url", "u1"), (2, "official-url", "u2"), (3, "official-url", "u3")}
+    assert [tuple(r) for r in identifiers.events(d).collect()] == [(7, "g", datetime.date(2020, 1, 1), "u1", "u2")]
+    calls = spark.createDataFrame([(1, 1, "x"), (1, 9, "y")], "document_id long, ordinal int, action string")
+    items = spark.createDataFrame([(50, 1, 1)], "id long, document_id long, ordinal int")
+    assert [(r.item_id, r.action) for r in identifiers.with_parent(calls, items, ["document_id", "ordinal"], "item_id").collect()] == [(50, "x")]
 
 
 def test_version_chain(spark):
@@ -139,4 +197,4 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     stream = feeds.events(spark, src, "k long, at int, value int", 1)
     for _ in range(2):  # a second run with nothing new changes nothing
         feeds.run_available(stream, feeds.upsert_into(str(tmp_path / "out"), ["k"], ["at"]), str(tmp_path / "cp"))
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(k, 2, 2 * k) for k in range(4)}
+    assert {tuple(r) for r in tables.read(spark, str(tmp_path / "out")).collect()} == {(k, 2, 2 * k) for k in range(4)}
