@@ -37,6 +37,40 @@ def items_markdown(query: str, rows: list[dict]) -> str:
     return "\n".join(out).rstrip() + "\n"
 
 
+def comments_markdown(query: str, rows: list[dict]) -> str:
+    """Comments as quotations under their speakers."""
+    out = [f"# Comments on “{query}”", ""]
+    for r in rows:
+        out += [f"## {r.get('speaker') or 'Unnamed speaker'}", _link(r, "meeting_date", "page_number"), "", f"> {' '.join((r.get('content') or '').split())}", ""]
+    return "\n".join(out).rstrip() + "\n"
+
+
+def votes_markdown(voter: str, rows: list[dict], counts: dict) -> str:
+    """A member's votes as a table under their counts."""
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    line = " · ".join(f"{k} {counts[k]}" for k in ("aye", "no", "absent", "excused") if k in counts)
+    table = [f"| {' | '.join(cell(r.get(c)) for c in ('meeting_date', 'file_number', 'position', 'title'))} |" for r in rows]
+    return "\n".join([f"# Votes of {voter}", "", line, "", "| Date | File | Vote | Title |", "| --- | --- | --- | --- |", *table]) + "\n"
+
+
+PARTS = {"item": "Items", "page": "Pages", "comment": "Comments", "housing": "Housing"}
+
+
+def bundle_markdown(question: str, rows: list[dict]) -> str:
+    """An evidence bundle (part, rank, id, title, body as JSON) by parts, in order."""
+    out = [f"# {question}", ""]
+    for part, heading in PARTS.items():
+        own = sorted((r for r in rows if r["part"] == part), key=lambda r: r["rank"])
+        if own:
+            out += [f"## {heading}", ""]
+        for r in own:
+            body = json.loads(r["body"])
+            out += [f"{r['rank']}. {r['title'] or 'Untitled'}" + (f" ({r['id']})" if r["id"] else ""), *(f"   - {k}: {json.dumps(v, ensure_ascii=False) if isinstance(v, (list, dict)) else v}" for k, v in body.items())]
+        if own:
+            out.append("")
+    return "\n".join(out).rstrip() + "\n"
+
+
 def transcript_markdown(title: str, pages: list[tuple[int, str]]) -> str:
     return "\n\n".join([f"# {title}", *(f"## Page {n}\n\n{text}" for n, text in pages)]) + "\n"
 

@@ -153,3 +153,33 @@ def service_dates(rows: DataFrame, text: str) -> DataFrame:
     """rows with first_date and last_date: the least and greatest date (M/d/yyyy) that a text names."""
     found = F.transform(F.regexp_extract_all(F.col(text), F.lit(r"(\d{1,2}/\d{1,2}/\d{4})"), F.lit(1)), lambda x: F.to_date(F.try_to_timestamp(x, F.lit("M/d/yyyy"))))
     return rows.withColumns({"first_date": F.array_min(found), "last_date": F.array_max(found)})
+
+
+def former_members(rows: DataFrame, text: str, since: str = "1996-01-01", at_large_until: str = "2001-01-08") -> DataFrame:
+    """service_dates() of those who served since a day, with district_default: At-large for those who left by the end of
+    that era, else null. Texts without a date are left out."""
+    dated = service_dates(rows, text).where(F.col("last_date") >= F.lit(since).cast("date"))
+    return dated.withColumn("district_default", F.when(F.col("last_date") <= F.lit(at_large_until).cast("date"), "At-large"))
+
+
+def roster(scraped: DataFrame, curated: DataFrame, least: int = 11) -> DataFrame:
+    """The scraped roster if it has at least so many members, else the curated one: a page that has changed its form
+    must not empty the table. Both are (slug, ...) of the same columns; the choice is part of the plan."""
+    enough = scraped.agg((F.countDistinct("slug") >= least).alias("_enough"))  # one row
+    pick = lambda rows, keep: rows.crossJoin(F.broadcast(enough)).where(F.col("_enough") if keep else ~F.col("_enough")).drop("_enough")
+    return pick(scraped.dropDuplicates(["slug"]), True).unionByName(pick(curated, False))
+
+
+MATTER = "MatterId long, MatterFile string, MatterTitle string, MatterTypeName string, MatterStatusName string, MatterIntroDate string, MatterPassedDate string"
+
+
+def matters(answers: DataFrame, column: str) -> DataFrame:
+    """(matter_id, file_number, title, type, status, introduced, passed) of JSON answers, each an array of matters or
+    not JSON at all, which then holds none. Of a matter that comes twice the last by status and dates is kept."""
+    m = recordset(answers.where(F.col(column).isNotNull()), column, MATTER.replace(" ", ":"). replace(",:", ","))
+    day = lambda c: F.to_date(F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")))
+    rows = m.where(F.col("MatterId").isNotNull()).select(
+        F.col("MatterId").alias("matter_id"), F.trim("MatterFile").alias("file_number"), F.trim("MatterTitle").alias("title"), F.col("MatterTypeName").alias("type"), F.col("MatterStatusName").alias("status"), day("MatterIntroDate").alias("introduced"), day("MatterPassedDate").alias("passed")
+    )
+    best = rows.groupBy("matter_id").agg(F.max(F.struct("passed", "introduced", "status", "file_number", "title", "type")).alias("r"))
+    return best.select("matter_id", *[F.col("r")[c].alias(c) for c in ("file_number", "title", "type", "status", "introduced", "passed")])
