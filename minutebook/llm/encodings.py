@@ -162,6 +162,7 @@ def undo(run: str, chain: int) -> str:
     return now
 
 
+@lru_cache(maxsize=1 << 14)
 def _class(c: str) -> str:
     if not c:
         return "e"
@@ -176,6 +177,7 @@ def _class(c: str) -> str:
     return "W" if c.isalpha() else "."
 
 
+@lru_cache(maxsize=1 << 14)
 def _symbol(c: str) -> str:
     """Characters above the general symbols count by block of 256, so the table of symbols has a bound."""
     o = ord(c)
@@ -300,45 +302,52 @@ def posterior(gains: list[dict[int, float]], prior: list[float]) -> tuple[list[f
 FLAT = [0.97, *[0.03 / len(CHAINS)] * len(CHAINS)]
 
 
+#: Distinct runs whose weights a partition holds before it adds up their characters.
+HELD_RUNS = 200_000
+
+
 def _e_step(model: Model | None):
-    """Documents to expected counts: ("s", source, chain) and ("c", context, symbol), added up within the partition."""
+    """Documents that aren't all ASCII to expected counts: ("s", source, chain) and ("c", context, symbol), added up
+    within the partition. Equal runs between equal neighbours are weighed together before their characters count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chains: Counter = Counter()
         counts: Counter = Counter()
+        weights: Counter = Counter()  # (left, run, right, chain or -1 for as it stands) to how often
         cache: dict = {}
+
+        def add_up() -> None:
+            for (left, r, right, chain), n in weights.items():
+                for e in _events(left, undo(r, chain) if chain >= 0 else r, right):
+                    counts[e] += n
+            weights.clear()
+
         for batch in batches:
             for source, text, prior in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if not text or text.isascii():
-                    if text is not None:
-                        chains[source, 0] += 1.0
-                    continue
                 runs = runs_of(text)
-                if model is None:  # at first: what no chain could have made counts as clean, the rest by half
+                if len(weights) > HELD_RUNS:
+                    add_up()
+                if model is None:  # at first: what no chain could have made counts as clean, the rest by little
                     for _, left, r, right in runs:
                         touched = any(undo(r, c) != r for c in range(len(UTF8_READ_AS)))
-                        for e in _events(left, r, right):
-                            counts[e] += 0.05 if touched else 1.0
+                        weights[left, r, right, -1] += 0.05 if touched else 1.0
                     continue
                 gains = evidence(model, runs, cache)
                 p, shares = posterior(gains, prior or FLAT)
                 for k, x in enumerate(p):
-                    if x > 1e-6:
-                        chains[source, k] += x
+                    chains[source, k] += x
                 for (_, left, r, right), g in zip(runs, gains):
                     clean = 1.0
                     for chain, gain in g.items():
                         x = p[chain + 1]
-                        if x > 1e-3:
+                        if x > 0.0:
                             odds = math.exp(min(gain, 50.0)) * shares[chain] / max(1e-9, 1 - shares[chain])
                             x *= odds / (1 + odds)
                             clean -= x
-                            if x > 1e-3:
-                                for e in _events(left, undo(r, chain), right):
-                                    counts[e] += x
+                            weights[left, r, right, chain] += x
                     if LOST not in r:
-                        for e in _events(left, r, right):
-                            counts[e] += max(clean, 0.0)
+                        weights[left, r, right, -1] += max(clean, 0.0)
+        add_up()
         rows = [("c", context, symbol, n) for (context, symbol), n in counts.items()] + [("s", source, str(k), n) for (source, k), n in chains.items()]
         kinds, a, b, n = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.float64())], ["kind", "a", "b", "n"])
@@ -375,17 +384,24 @@ def _with_prior(docs: DataFrame, priors: DataFrame | None) -> DataFrame:
     return docs.join(p, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
+FOREIGN = r"[^\x00-\x7f]"
+
+
 def fit(documents: DataFrame, text: str = "text", source: str = "source", rounds: int = 3) -> tuple[Model, DataFrame]:
     """The clean-text model and the chain priors of each source, from all documents.
 
     What reaches the driver is the table of (context, symbol): at most 64 contexts times the code points below U+3000
     and the blocks above, whatever the number of documents. The priors stay a table, one row a source.
     """
-    docs = documents.select(F.col(source).alias("source"), F.col(text).alias("text"))
+    every = documents.select(F.col(source).alias("source"), F.col(text).alias("text"))
+    docs = every.where(F.col("text").rlike(FOREIGN))
+    # texts of ASCII are clean whatever the model
+    plain = every.where(~F.col("text").rlike(FOREIGN)).groupBy(F.col("source").alias("a")).agg(F.count("*").cast("double").alias("n"))
+    plain = cut(plain.select(F.lit("s").alias("kind"), "a", F.lit("0").alias("b"), "n"))
     model, priors = None, None
     for _ in range(rounds):
         step = _with_prior(docs, priors).select("source", "text", "prior")
-        sums = step.mapInArrow(_e_step(model), SUMS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+        sums = step.mapInArrow(_e_step(model), SUMS).unionByName(plain).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
         sums = cut(sums)
         table = sums.where(F.col("kind") == "c").select("a", "b", "n").collect()
         counts = {(r.a, r.b): r.n for r in table}
@@ -405,7 +421,7 @@ def repaired(documents: DataFrame, key: str = "doc_id", text: str = "text", sour
     model, priors = fit(documents, text, source, rounds)
     kind = documents.schema[key].dataType.simpleString()
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
-    docs = docs.where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    docs = docs.where(F.col("text").rlike(FOREIGN))
     docs = _with_prior(docs, priors).select("key", "text", "prior")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
