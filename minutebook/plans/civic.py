@@ -769,12 +769,13 @@ def ag13_unresolved_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-with p as (select document_id, page_number, trim(regexp_replace(s, '[ \\t]+(\\n)', '\\1', 'g')) as c, n from (select id as document_id, unnest(string_split(content, chr(10) || chr(10))) as s, unnest(range(1, len(string_split(content, chr(10) || chr(10))) + 1)) as n, page_number from {P} where content is not null))
-select document_id, n as page_number from p where regexp_replace(c, '^\\s+|\\s+$', '', 'g') <> ''""")
+with p as (select id as document_id, unnest(string_split(content, chr(10) || chr(10))) as s, unnest(range(1, len(string_split(content, chr(10) || chr(10))) + 1)) as n from {P} where content is not null),
+c as (select document_id, n as page_number, regexp_replace(trim(regexp_replace(s, '[ \\t]+(\\n)', '\\1', 'g')), '^\\s+|\\s+$', '', 'g') as c from p)
+select document_id, page_number, md5(c) as content from c where c <> ''""")
 def src01_page_split(spark: SparkSession, sf: str) -> DataFrame:
     """Blank lines stand for page ends here, as the texts have no form feeds; pages number before empty ones go."""
     p = once(spark, sf, "pages", "content").where("content is not null").select(F.col("id").alias("document_id"), F.replace("content", F.lit("\n\n"), F.lit("\f")).alias("content"))
-    return records.split_pages(p, "document_id", "content").select("document_id", F.col("page_number").cast("long").alias("page_number"))
+    return records.split_pages(p, "document_id", "content").select("document_id", F.col("page_number").cast("long").alias("page_number"), F.md5("content").alias("content"))
 
 
 @query(f"select id, cast(regexp_extract(local_path, '(\\d{{4}}-\\d{{2}}-\\d{{2}})_', 1) as date) as meeting_date, regexp_extract(local_path, '^(agenda|minutes)', 1) as kind from {D} where local_path is not null")
@@ -784,9 +785,19 @@ def src02_file_names(spark: SparkSession, sf: str) -> DataFrame:
     return paths.join(records.file_records(paths.select("path").distinct()), "path").select("id", "meeting_date", "kind")
 
 
-@query("select doc_id, sha256(text) as sha, md5(text) as md from documents where text is not null")
+@query("select doc_id, sha256(text) as sha256, text like '%PDF%' and starts_with(text, '%PDF') as is_pdf from documents where text is not null")
 def src17_hash_verify(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return records.verified(d).select("doc_id", "sha256", "is_pdf")
+
+
+@query(f"""
+with s as (select document_id, matter, ordinal, id, concat_ws(' ', file_number, coalesce(title, '') || '.', left({_SQUEEZE("left(regexp_replace(coalesce(content, ''), '^\\s*\\d{6}\\s+\\[[\\s\\S]*?\\]\\s*', ''), 3000)")}, 3500)) as line from {I}),
+w as (select document_id, matter, md5(string_agg(line, chr(10) order by ordinal, line)) as context from s where matter is not null group by 1, 2)
+select i.id as item_id, w.context from {I} i left join w on w.document_id = i.document_id and w.matter = i.matter""")
+def ag22_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item with the summaries of the items of its matter in its document; as a hash, for they are long."""
+    return parsers.contexts(_items(spark, sf)).select(F.col("id").alias("item_id"), F.md5("context").alias("context"))
 
 
 @query(f"""

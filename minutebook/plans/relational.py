@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from minutebook.operators import feed, merge
 from minutebook.session import table
+from minutebook.sources import records
 
 QUERIES, ORACLE = {}, {}
 
@@ -210,13 +211,6 @@ def ag_top_unresolved(spark: SparkSession, sf: str) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")))
 
 
-@query("""
-with g as (select lang, source, min(doc_id) as first_id, string_agg(cast(doc_id as varchar), ' ' order by doc_id) as ids from documents group by lang, source) select * from g""")
-def ag_text_context(spark: SparkSession, sf: str) -> DataFrame:
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), " ")
-    return table(spark, sf, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("first_id"), ids.alias("ids"))
-
-
 @query("""
 with m as (select l.*, o_orderdate, o_custkey from lineitem l join orders on l_orderkey = o_orderkey where l_quantity >= 45),
 g as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, l_orderkey desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) as k, count(*) over (partition by o_custkey) as group_count from m)
@@ -248,16 +242,16 @@ def set_stack_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-select 'page' as entity, id as key, left(content, 12000) as content from (select distinct * from pages) where content is not null
-union all select 'item', id, left(coalesce(title, '') || chr(10) || coalesce(content, ''), 12000) from (select distinct * from legislative_items)
-union all select 'comment', id, left(content, 12000) from (select distinct * from public_comments) where content is not null""")
+select 'page' as entity, id as key, content from (select distinct * from pages) where content is not null
+union all select 'item', id, coalesce(title, '') || chr(10) || coalesce(content, '') from (select distinct * from legislative_items)
+union all select 'comment', id, content from (select distinct * from public_comments) where content is not null""")
 def set_corpus_union(spark: SparkSession, sf: str) -> DataFrame:
-    """The texts to embed: their first 12,000 characters, which is what a provider takes."""
+    """The texts to embed, whole; cut them into pieces where a provider takes less."""
     of = lambda name: table(spark, sf, name).dropDuplicates(["id"])
-    rows = of("pages").where("content is not null").select(F.lit("page").alias("entity"), F.col("id").alias("key"), F.left("content", F.lit(12000)).alias("content"))
+    rows = of("pages").where("content is not null").select(F.lit("page").alias("entity"), F.col("id").alias("key"), "content")
     whole = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
-    rows = rows.unionByName(of("legislative_items").select(F.lit("item").alias("entity"), F.col("id").alias("key"), F.left(whole, F.lit(12000)).alias("content")))
-    return rows.unionByName(of("public_comments").where("content is not null").select(F.lit("comment").alias("entity"), F.col("id").alias("key"), F.left("content", F.lit(12000)).alias("content")))
+    rows = rows.unionByName(of("legislative_items").select(F.lit("item").alias("entity"), F.col("id").alias("key"), whole.alias("content")))
+    return rows.unionByName(of("public_comments").where("content is not null").select(F.lit("comment").alias("entity"), F.col("id").alias("key"), "content"))
 
 
 @query("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
@@ -344,9 +338,20 @@ def d_job_transition(spark: SparkSession, sf: str) -> DataFrame:
     return feed.probe_states(jobs, side(e.where("event_id % 3 = 0"))).select("source_key", "status")
 
 
-@query("""select user_id, cast(json_extract(props, '$.k') as bigint) as k, count(*) as n from events group by all""")
+@query("""select event_id, user_id, event_type, value from events""")
 def src14_json_recordset(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("user_id", F.from_json("props", "k long")["k"].alias("k")).groupBy("user_id", "k").agg(F.count("*").alias("n"))
+    """The events of each user, as one JSON array, come out as rows."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.collect_list(F.struct("event_id", "user_id", "event_type", "value"))).alias("j"))
+    return records.recordset(e, "j", "event_id:bigint,user_id:bigint,event_type:string,value:double")
+
+
+@query("select o_orderkey from orders where year(o_orderdate) = 1996 and o_orderstatus = 'O'")
+def f_exact_year(spark: SparkSession, sf: str) -> DataFrame:
+    """An exact year stands before a range."""
+    rows = table(spark, sf, "orders")
+    for c in conditions(1993, 1995, 1996, "O"):
+        rows = rows.where(c)
+    return rows.select("o_orderkey")
 
 
 @query("""select time_bucket(interval 1 day, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all""")
