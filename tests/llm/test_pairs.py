@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from minutebook.functions.fuzzy import osa
 from minutebook.llm import addresses, names, near_duplicates
 from minutebook.llm.segment_join import components, near, pairs_within, typing_slip, within
+from minutebook.session import cut
 
 ITEM = "id long, title string, content string, rep string, band int"
 
@@ -86,6 +87,12 @@ def test_segment_join_equals_brute_force(spark):
         assert {(a, b) for a, b, _, _ in near(df, "key", ["block"], "v", k).collect()} == want
 
 
+def test_segment_join_gathers_nothing(spark):
+    few = cut(spark.createDataFrame([(f"k{i}", f"name{i}") for i in range(50)], "key string, v string"))
+    for k in (1, 2):  # a small table, but many substrings of it
+        assert "BroadcastHashJoin" not in near(few, "key", [], "v", k)._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (101, 102)]
     got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
