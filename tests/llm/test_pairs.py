@@ -138,6 +138,17 @@ def test_short_forms_from_the_names_themselves(spark):
     assert got == {(f"Horatio {f}", f"Tio {f}") for f in ("Arbuth", "Bellow", "Corvan", "Dunmar")}
 
 
+def test_short_forms_from_large_families(spark):
+    r = random.Random(3)
+    fresh = lambda: "".join(r.choices("bdfgklmnprstvz", k=9)).capitalize()
+    large = [[fresh(), *[fresh() for _ in range(13)]] for _ in range(12)]
+    for k, family in enumerate(large):
+        family += ["Horatio", "Tio"] * (k < 4) + ["Quimby"] * (k > 1) + ["Xob"] * (k > 8)  # Xob meets Quimby by chance
+    df = spark.createDataFrame([(f"{g} {family[0]}",) for family in large for g in family[1:]], "name string")
+    got = {tuple(x) for x in names.spelling_pairs(df).collect()}
+    assert got == {(f"Horatio {family[0]}", f"Tio {family[0]}") for family in large[:4]}
+
+
 def test_slips_and_abbreviations():
     assert all(typing_slip(a, b) for a, b in (("hollingsworth", "holingswroth"), ("lee", "leee"), ("wong", "wnog"), ("abcdefghij", "abdcefghi")))
     assert not any(typing_slip(a, b) for a, b in (("tolverand", "tolvimond"), ("leo", "lee"), ("siltrastpul", "siltrastpem")))
