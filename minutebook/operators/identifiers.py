@@ -51,8 +51,9 @@ def position_snapshot(positions: DataFrame, supervisors: DataFrame, items: DataF
     the file, document and page of the item."""
     s = supervisors.select(F.col("id").alias("supervisor_id"), F.col("slug").alias("supervisorSlug"))
     i = items.select(F.col("id").alias("item_id"), F.col("file_number").alias("fileNumber"), F.col("document_id").cast("string").alias("documentId"), F.col("start_page").alias("page")).dropDuplicates(["item_id"])
-    r = roll_calls.select(F.col("id").alias("roll_call_id"), "action").dropDuplicates(["roll_call_id"])
-    p = positions.join(s, "supervisor_id", "left").join(r, "roll_call_id").join(i, "item_id")
+    r = roll_calls.select(F.col("id").alias("roll_call_id"), "item_id", "action").dropDuplicates(["roll_call_id"])
+    called = r.join(i, "item_id").drop("item_id")  # by roll call, as positions are many more
+    p = positions.join(s, "supervisor_id", "left").join(called, "roll_call_id")
     return p.select(
         F.concat_ws(":", "roll_call_id", "position", "recorded_name").alias("id"), "supervisorSlug", F.col("recorded_name").alias("recordedName"), "position", F.col("confidence").cast("double").alias("confidence"), "action",
         F.col("action_type").alias("actionType"), F.col("is_final").alias("isFinal"), "fileNumber", F.col("meeting_date").cast("string").alias("meetingDate"), "documentId", "page",

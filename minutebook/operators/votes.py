@@ -22,25 +22,30 @@ def aliases(supervisors: DataFrame) -> DataFrame:
 
 
 def positions(roll_calls: DataFrame) -> DataFrame:
-    """(roll_call_id, item_id, sequence, action_type, is_final, position, recorded_name), each once."""
-    tagged = F.array(*[F.struct(F.lit(p).alias("position"), F.col(c).alias("names")) for p, c in zip(POSITIONS, ("ayes", "noes", "absent", "excused"))])
-    rows = roll_calls.select(F.col("id").alias("roll_call_id"), "item_id", "sequence", "action_type", "is_final", F.explode(tagged).alias("t"))
-    return rows.select("roll_call_id", "item_id", "sequence", "action_type", "is_final", "t.position", F.explode("t.names").alias("recorded_name")).distinct()
+    """(roll_call_id, item_id, sequence, action_type, is_final, position, recorded_name), each once. Copies are put
+    together by roll call, before there is a row for each name."""
+    arrays = ("ayes", "noes", "absent", "excused")
+    keys = ["roll_call_id", "item_id", "sequence", "action_type", "is_final"]
+    calls = roll_calls.withColumnRenamed("id", "roll_call_id").groupBy(*keys).agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in arrays])
+    tagged = F.array(*[F.struct(F.lit(p).alias("position"), F.col(c).alias("names")) for p, c in zip(POSITIONS, arrays)])
+    return calls.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.position", F.explode("t.names").alias("recorded_name"))
 
 
 def reconciled(positions: DataFrame, dated: DataFrame, supervisors: DataFrame) -> DataFrame:
-    """positions with supervisor_id and confidence. dated: (item_id, meeting_date). A family name in office on the day,
-    of the latest term, decides at 0.98; else an alias at its confidence; else nobody at 0.5. The as-of part is an
-    equi-join on the family name with the term as a residual, over the few members who share one."""
+    """positions with the columns of dated, supervisor_id and confidence. dated: (item_id, meeting_date) and others. A
+    family name in office on the day, of the latest term, decides at 0.98; else an alias at its confidence; else nobody
+    at 0.5. What a name may mean is one row with the terms of the few members who share it, so positions are read and
+    joined once."""
     p = positions.join(dated, "item_id", "left").withColumn("k", name_key(F.col("recorded_name")))
-    s = supervisors.select(F.col("id").alias("sid"), name_key(F.col("family_name")).alias("k"), "term_start", "term_end")
-    names = p.select("k", "meeting_date").distinct()
-    in_office = (F.col("term_start").isNull() | (F.col("meeting_date") >= F.col("term_start"))) & (F.col("term_end").isNull() | (F.col("meeting_date") <= F.col("term_end")))
-    best = names.join(s, "k").where(in_office).groupBy("k", "meeting_date").agg(F.max(F.struct("term_start", -F.col("sid"), "sid")).alias("r")).select("k", "meeting_date", F.col("r.sid").alias("by_term"))
+    s = supervisors.select(name_key(F.col("family_name")).alias("k"), F.struct("term_start", (-F.col("id")).alias("first"), F.col("id").alias("sid"), "term_end").alias("t"))
+    terms = s.where(F.col("k").isNotNull()).groupBy("k").agg(F.collect_list("t").alias("terms"))
     a = aliases(supervisors).select(F.col("normalized_alias").alias("k"), F.col("supervisor_id").alias("by_alias"), "confidence")
-    out = p.join(best, ["k", "meeting_date"], "left").join(a, "k", "left")
+    known = terms.join(a, "k", "full")
+    day = F.col("meeting_date")
+    in_office = lambda t: day.isNotNull() & (t["term_start"].isNull() | (day >= t["term_start"])) & (t["term_end"].isNull() | (day <= t["term_end"]))
+    out = p.join(known, "k", "left").withColumn("by_term", F.array_max(F.filter("terms", in_office))["sid"])
     sure = F.when(F.col("by_term").isNotNull(), 0.98).when(F.col("by_alias").isNotNull(), F.col("confidence")).otherwise(0.5)
-    return out.select(*positions.columns, "meeting_date", F.coalesce("by_term", "by_alias").alias("supervisor_id"), sure.cast("decimal(4,3)").alias("confidence"))
+    return out.select(*positions.columns, *[c for c in dated.columns if c != "item_id"], F.coalesce("by_term", "by_alias").alias("supervisor_id"), sure.cast("decimal(4,3)").alias("confidence"))
 
 
 def resolve(supervisors: DataFrame, voter: str) -> DataFrame:

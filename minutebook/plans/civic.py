@@ -467,7 +467,7 @@ def d09_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _reconciled(spark: SparkSession, sf: str) -> DataFrame:
     dated = once(spark, sf, "legislative_items", "document_id", "file_number").withColumnRenamed("id", "item_id").join(once(spark, sf, "meeting_documents", "meeting_date").withColumnRenamed("id", "document_id"), "document_id").select("item_id", "meeting_date", "file_number")
-    return votes.reconciled(votes.positions(_calls(spark, sf)), dated.drop("file_number"), table(spark, sf, "supervisors")).join(dated.select("item_id", "file_number"), "item_id", "left")
+    return votes.reconciled(votes.positions(_calls(spark, sf)), dated, table(spark, sf, "supervisors"))
 
 
 _K = lambda x: f"regexp_replace(lower(strip_accents({x})), '[^a-z0-9]', '', 'g')"
